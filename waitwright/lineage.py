@@ -45,15 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast after measuring it; beyond the bound leave the join to Spark."""
-    fixed, texts = 0, []
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure ``df``: whether its rows, text included, stay within ``max_bytes``."""
+    width = F.lit(16 * len(df.columns)).cast("bigint")
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            texts.append(F.coalesce(F.octet_length(field.name), F.lit(0)).cast("bigint"))
-        fixed += 16
-    width = F.lit(fixed).cast("bigint")
-    for text in texts:
-        width = width + text
-    measured = df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()["size"]
-    return F.broadcast(df) if measured <= max_bytes else df
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+    return (df.agg(F.sum(width).alias("size")).first()["size"] or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark ``df`` for broadcast if it is small; otherwise leave the join to Spark."""
+    return F.broadcast(df) if is_small(df) else df

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waitwright.functions.calendar import epoch_micros
 from waitwright.functions.rounding import fixed_text, round_exact
@@ -273,7 +274,7 @@ def cooldown(runs: DataFrame, minutes: int = Thresholds().cooldown_minutes, *,
         fill_forward(marked, ["_segment"]).df.select(site, ts, "_us", "_segment")
         .repartition("_segment").sortWithinPartitions("_segment", "_us")
     )
-    schema = walked.schema.add("kept", "boolean")
+    schema = T.StructType([*walked.schema.fields, T.StructField("kept", T.BooleanType())])
     kept = walked.mapInPandas(lambda batches: _keep_spaced(batches, gap_us), schema)
     return kept.select(site, ts, "kept")
 

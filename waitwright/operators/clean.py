@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waitwright.operators.ordering import arrange, fill_backward, fill_forward
+from waitwright.operators.ordering import arrange, fill_both_ways
 from waitwright.operators.quantiles import quantile_values
 from waitwright.settings import (
     ARRIVAL, CARRIED_COLUMNS, FENCE_FACTOR, QUANTILE_RANGE, TARGET, VISIT_ID, Z_LIMIT,
@@ -104,7 +104,7 @@ def carry_over_time(df: DataFrame, order: tuple[str, ...] = (ARRIVAL, VISIT_ID),
     broken = [c for c in given if gaps[c]]
     if not broken:
         return df
-    return fill_backward(fill_forward(arrange(df, order), broken), broken).df.drop("ord")
+    return fill_both_ways(arrange(df, order), broken).df.drop("ord")
 
 
 def impute(df: DataFrame) -> tuple[DataFrame, FillValues]:

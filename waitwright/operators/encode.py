@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waitwright.lineage import broadcast_if_small, cut
+from waitwright.lineage import cut, is_small
 from waitwright.operators.ordering import arrange
 from waitwright.settings import CATEGORICAL_COLUMNS
 
@@ -45,12 +45,14 @@ def apply_encoder(df: DataFrame, encoder: DataFrame, columns: list[str], *,
     ``unseen`` is the code of values the encoder does not know: -1 marks them, 0 takes the
     first class.
     """
+    small = is_small(encoder)
     for column in columns:
         lookup = encoder.where(F.col("column") == column).select(
             F.col("value").alias("_value"), F.col("code").alias("_code"))
         df = (
             df.withColumn("_key", _text(F.col(column)))
-            .join(broadcast_if_small(lookup), F.col("_key") == F.col("_value"), "left")
+            .join(F.broadcast(lookup) if small else lookup, F.col("_key") == F.col("_value"),
+                  "left")
             .withColumn(f"{column}{suffix}", F.coalesce(F.col("_code"), F.lit(unseen)))
             .drop("_key", "_value", "_code")
         )
@@ -68,7 +70,7 @@ def encode_categories(df: DataFrame, encoder: DataFrame | None = None,
     """Encode the listed columns that exist; fit first when no encoder is given."""
     present = [c for c in columns if c in df.columns]
     if encoder is None:
-        encoder = cut(fit_encoder(df, present))
+        encoder = fit_encoder(df, present)
     return apply_encoder(df, encoder, present), encoder
 
 
@@ -77,5 +79,5 @@ def encode_in_place(df: DataFrame, encoder: DataFrame | None = None
     """Replace every text column by codes; unknown values take the first class."""
     columns = text_columns(df)
     if encoder is None:
-        encoder = cut(fit_encoder(df, columns))
+        encoder = fit_encoder(df, columns)
     return apply_encoder(df, encoder, columns, unseen=0, suffix=""), encoder

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from waitwright.lineage import broadcast_if_small, cut
+from waitwright.lineage import cut
 
 MAX_BLOCKS = 100_000
 MIN_BLOCK_ROWS = 10_000
@@ -43,17 +43,15 @@ def arrange(df: DataFrame, order: tuple[str, ...], block_rows: int | None = None
         .withColumn("_place", F.monotonically_increasing_id())
     )
     part, index = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = placed.withColumns({"_part": part, "_index": index}).drop("_place")
-    # One row per range partition: bounded by the shuffle partition setting.
-    sizes = cut(placed.groupBy("_part").agg(F.count("*").alias("_size")))
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_off"))
-    rows = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    numbered = (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn("ord", F.col("_off") + F.col("_index"))
-        .drop("_part", "_index", "_off")
-    )
+    # One count per range partition: bounded by the shuffle partition setting.
+    counts = {row["part"]: row["cnt"] for row in placed.groupBy(part.cast("int").alias("part"))
+              .agg(F.count("*").alias("cnt")).collect()}
+    rows, offsets = 0, []
+    for number in range(max(counts, default=-1) + 1):
+        offsets.append(rows)
+        rows += counts.get(number, 0)
+    starts = F.expr("array(" + ", ".join(f"{offset}L" for offset in offsets or [0]) + ")")
+    numbered = placed.withColumn("ord", F.get(starts, part.cast("int")) + index).drop("_place")
     size = block_rows or max(MIN_BLOCK_ROWS, -(-rows // MAX_BLOCKS))
     return Arranged(numbered, rows, size)
 
@@ -76,31 +74,50 @@ def over_blocks(arranged: Arranged, reach: int,
                             .drop("_block"))
 
 
-def _carry(arranged: Arranged, columns: list[str], forward: bool) -> Arranged:
-    """Fill nulls with the nearest earlier (or later) value, however far away it is."""
+def _fill(arranged: Arranged, columns: list[str], directions: tuple[bool, ...]) -> Arranged:
+    """Fill nulls from the nearest earlier (True) or later (False) value, however far away.
+
+    Directions are tried in turn. Windows stay within blocks; what lies beyond comes from a
+    table with one row per block, which MAX_BLOCKS bounds.
+    """
     block = F.floor(F.col("ord") / arranged.block_rows)
     tagged = arranged.df.withColumn("_block", block)
-    nearest = F.max_by if forward else F.min_by
-    def direction(name: str) -> Column:
-        return F.col(name).asc() if forward else F.col(name).desc()
-    # One row per block, at most MAX_BLOCKS of them.
     edges = tagged.groupBy("_block").agg(*[
-        nearest(F.col(c), F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in columns])
-    before = Window.orderBy(direction("_block")).rowsBetween(Window.unboundedPreceding, -1)
+        (F.max_by if forward else F.min_by)(
+            F.col(c), F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"_{c}_{forward}")
+        for c in columns for forward in directions])
+
+    def ordered(name: str, forward: bool) -> Column:
+        return F.col(name).asc() if forward else F.col(name).desc()
+
+    def beyond(column: str, forward: bool) -> Column:
+        frame = (Window.orderBy(ordered("_block", forward))
+                 .rowsBetween(Window.unboundedPreceding, -1))
+        return F.last(f"_{column}_{forward}", ignorenulls=True).over(frame)
+
+    def inside(column: str, forward: bool) -> Column:
+        frame = (Window.partitionBy("_block").orderBy(ordered("ord", forward))
+                 .rowsBetween(Window.unboundedPreceding, 0))
+        return F.last(column, ignorenulls=True).over(frame)
+
     carried = edges.select("_block", *[
-        F.last(c, ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns])
-    inside = (Window.partitionBy("_block").orderBy(direction("ord"))
-              .rowsBetween(Window.unboundedPreceding, 0))
-    joined = tagged.join(broadcast_if_small(carried), "_block")
+        beyond(c, forward).alias(f"_{c}_{forward}") for c in columns for forward in directions])
+    joined = tagged.join(F.broadcast(carried), "_block")
     filled = joined.withColumns({
-        c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carry_{c}"))
+        c: F.coalesce(*[value for forward in directions
+                        for value in (inside(c, forward), F.col(f"_{c}_{forward}"))])
         for c in columns})
-    return arranged.replace(filled.drop("_block", *[f"_carry_{c}" for c in columns]))
+    return arranged.replace(filled.drop("_block", *carried.columns))
 
 
 def fill_forward(arranged: Arranged, columns: list[str]) -> Arranged:
-    return _carry(arranged, columns, forward=True)
+    return _fill(arranged, columns, (True,))
 
 
 def fill_backward(arranged: Arranged, columns: list[str]) -> Arranged:
-    return _carry(arranged, columns, forward=False)
+    return _fill(arranged, columns, (False,))
+
+
+def fill_both_ways(arranged: Arranged, columns: list[str]) -> Arranged:
+    """Earlier values first; later ones for what precedes every known value."""
+    return _fill(arranged, columns, (True, False))

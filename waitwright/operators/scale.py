@@ -22,10 +22,12 @@ class FlagLimits:
 
 
 def fit_flags(df: DataFrame) -> FlagLimits:
-    limits = {}
-    for column, prob, _, _ in FLAG_RULES:
-        if column in df.columns:
-            limits[column] = quantile_values(df, [column], [prob])[(column, prob)]
+    rules = [(column, prob) for column, prob, _, _ in FLAG_RULES if column in df.columns]
+    if not rules:
+        return FlagLimits({})
+    marks = quantile_values(df, [column for column, _ in rules],
+                            sorted({prob for _, prob in rules}))
+    limits = {column: marks[(column, prob)] for column, prob in rules if (column, prob) in marks}
     return FlagLimits(limits)
 
 

@@ -658,8 +658,8 @@ def stream_alerts(spark, folder):
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Dirty visits to per-department efficiency: dedupe, quantile filter, calendar, report."""
-    kept = clean.filter_outliers(clean.remove_duplicates(ad.visits_dirty(spark, folder)), TARGET,
-                                 "quantile")
+    distinct = cut(clean.remove_duplicates(ad.visits_dirty(spark, folder)))
+    kept = clean.filter_outliers(distinct, TARGET, "quantile")
     busy = cal.with_calendar(kept).withColumnsRenamed(
         {TARGET: "wait_time", "queue_length_at_arrival": "queue_length"})
     return report.department_efficiency(busy, decimals=2)
