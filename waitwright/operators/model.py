@@ -39,11 +39,16 @@ def randomised_trees(label: str = TARGET, trees: int = 100, depth: int = 10,
                                  featureSubsetStrategy="onethird", **options)
 
 
-def _pipeline(estimator: Estimator, features: list[str]) -> Pipeline:
+def assembled(estimator: Estimator, features: list[str]) -> Pipeline:
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     return Pipeline(stages=[assembler, estimator])
 
 
+def fit_one(estimator: Estimator, features: list[str], rows: DataFrame) -> PipelineModel:
+    """Assemble the features and fit one estimator."""
+    return assembled(estimator, features).fit(rows)
+
+
 # --- metrics ----------------------------------------------------------------------------------
 def regression_metrics(df: DataFrame, label: str = TARGET, prediction: str = "prediction"
                        ) -> DataFrame:
@@ -90,9 +95,9 @@ def train_and_compare(split: DataFrame, features: list[str], candidates: dict[st
     for position, (name, estimator) in enumerate(candidates.items()):
         if _with_validation(estimator):
             stopping = estimator.copy({estimator.validationIndicatorCol: "_held"})
-            model = _pipeline(stopping, features).fit(fitting)
+            model = fit_one(stopping, features, fitting)
         else:
-            model = _pipeline(estimator, features).fit(train)
+            model = fit_one(estimator, features, train)
         models[name] = model
         scores = regression_metrics(model.transform(test), label).first()
         rows.append((position, name, scores["rmse"], scores["mae"], scores["r2"], scores["mape"]))
@@ -169,15 +174,15 @@ def fit_stack(train: DataFrame, features: list[str], bases: dict[str, Estimator]
     held_out = None
     for number in range(folds):
         rest = data.where(F.col("_fold") != number)
-        fitted = {n: _pipeline(est, features).fit(rest) for n, est in named.items()}
+        fitted = {n: fit_one(est, features, rest) for n, est in named.items()}
         part = _base_predictions(data.where(F.col("_fold") == number), fitted)
         part = part.select(target, *_names(bases))
         held_out = part if held_out is None else held_out.unionByName(part)
     held_out = cut(held_out)
     size = held_out.agg(F.count("*").alias("rows"), F.stddev_pop(target).alias("std")).first()
     learner = meta_learner(meta, target, size["std"], size["rows"])
-    fitted_meta = _pipeline(learner, _names(bases)).fit(held_out)
-    fitted = {n: _pipeline(est, features).fit(data) for n, est in named.items()}
+    fitted_meta = fit_one(learner, _names(bases), held_out)
+    fitted = {n: fit_one(est, features, data) for n, est in named.items()}
     return Stack(fitted, fitted_meta, log_target)
 
 

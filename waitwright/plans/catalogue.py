@@ -585,7 +585,7 @@ def model_stack(spark, folder):
 @query
 def feature_importance(spark, folder):
     data = _split_visits(spark, folder).where("split = 'train'")
-    fitted = {name: model._pipeline(estimator, _MODEL_INPUTS).fit(data)
+    fitted = {name: model.fit_one(estimator, _MODEL_INPUTS, data)
               for name, estimator in _bases().items()}
     return model.feature_importance(fitted, _MODEL_INPUTS, spark)
 
@@ -594,7 +594,7 @@ def feature_importance(spark, folder):
 def learning_curve(spark, folder):
     data = _split_visits(spark, folder)
     train, test = data.where("split = 'train'"), data.where("split = 'test'")
-    fitted = model._pipeline(model.boosted_leafwise(rounds=5), _MODEL_INPUTS).fit(train)
+    fitted = model.fit_one(model.boosted_leafwise(rounds=5), _MODEL_INPUTS, train)
     return model.learning_curve(fitted, train, test)
 
 
@@ -608,8 +608,8 @@ def score_batch(spark, folder):
          "month": F.month("arrival_time")})
     train = cut(af.aligned(af.with_command_features(visits), names, (TARGET,)))
     scaler = scale.fit_scaler(train, names)
-    fitted = model._pipeline(model.randomised_trees(trees=5, depth=5), names).fit(
-        scale.apply_scaler(train, scaler))
+    fitted = model.fit_one(model.randomised_trees(trees=5, depth=5), names,
+                           scale.apply_scaler(train, scaler))
     return score.score_requests(requests, fitted, names, scaler, ("request_id",)).withColumn(
         "violations", F.array_join("violations", ","))
 
