@@ -27,7 +27,7 @@ def to_spark(spark, pdf):
     schema = ("arrival_time timestamp_ntz, patient_id bigint, waiting_time double, "
               "queue_length_at_arrival bigint")
     rows = [tuple(None if pd.isna(v) else v for v in row) for row in zip(
-        pdf.arrival_time.dt.to_pydatetime(), pdf.patient_id.tolist(), pdf.waiting_time.tolist(),
+        list(map(pd.Timestamp.to_pydatetime, pdf.arrival_time)), pdf.patient_id.tolist(), pdf.waiting_time.tolist(),
         pdf.queue_length_at_arrival.tolist())]
     return spark.createDataFrame(rows, schema)
 
@@ -124,3 +124,15 @@ def test_latest_breaks_ties_by_id(table):
                [("A", 1, 1, 5.0), ("A", 2, 2, 6.0), ("A", 2, 3, 7.0), ("B", 0, 4, 8.0)])
     got = {r["department"]: r["wait_time"] for r in latest_per(df, tie="id").collect()}
     assert got == {"A": 7.0, "B": 8.0}
+    assert latest_per(df.where("false"), tie="id").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_latest_filter_reaches_the_scan(spark, tmp_path, kind):
+    spark.sql(f"""select if(id % 2 = 0, 'A', 'B') as department,
+        cast(timestamp_ntz '2024-03-31 01:30:00' + make_dt_interval(0, cast(id as int)) as {kind})
+        as timestamp, id from range(100)""").write.parquet(str(tmp_path / "t"))
+    newest = latest_per(spark.read.parquet(str(tmp_path / "t")), tie="id")
+    assert {(r["department"], r["id"]) for r in newest.collect()} == {("A", 98), ("B", 99)}
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(timestamp" in plan

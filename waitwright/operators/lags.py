@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from waitwright.lineage import cut
+from waitwright.lineage import broadcast_if_small, cut
 from waitwright.operators.ordering import Arranged, fill_backward, over_blocks
 from waitwright.operators.quantiles import quantile_values
 from waitwright.settings import LAGS, TARGET, WINDOWS
@@ -95,10 +96,32 @@ def with_history_stats(arranged: Arranged, wait: str = "wait_time_minutes", queu
     return built.replace(built.df.withColumns(filled))
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    """Constant of a column's type, so that a filter on it can reach the scan."""
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(F.lit(value))
+    return F.lit(value).cast(kind)
+
+
 def latest_per(df: DataFrame, key: str = "department", ts: str = "timestamp",
                tie: str | None = None) -> DataFrame:
-    """Newest row per key by partial aggregation: no sort, no group held in memory."""
+    """Newest row per key; keys or times that are null have none.
+
+    The newest times come from a hash aggregate over two columns. The rows themselves are
+    then looked up by a filter the scan can use: nothing older than the least recent of the
+    newest times is read where files or row groups are laid out by time.
+    """
+    kind, rest = df.schema[ts].dataType, [c for c in df.columns if c != key]
+    times = cut(df.groupBy(key).agg(F.max(ts).alias("_newest"))
+                .where(F.col(key).isNotNull() & F.col("_newest").isNotNull()))
+    least = F.min("_newest")
+    if isinstance(kind, T.TimestampType):
+        least = F.unix_micros(least)
+    elif isinstance(kind, T.TimestampNTZType):
+        least = least.cast("string")
+    floor = times.agg(least.alias("floor")).first()["floor"]
+    recent = df.where(F.col(ts) >= _literal(floor, kind))
+    found = recent.join(broadcast_if_small(times), key).where(F.col(ts) == F.col("_newest"))
     order = F.struct(ts, *([tie] if tie else []))
-    rest = [c for c in df.columns if c != key]
-    newest = df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_newest"))
-    return newest.select(key, "_newest.*").select(*df.columns)
+    newest = found.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    return newest.select(key, "_row.*").select(*df.columns)
