@@ -15,7 +15,9 @@ def test_fill_rules(table):
     df = table("n int, d double, s string, none string, gone double, t timestamp",
                [(1, 1.0, "x", None, None, None), (None, None, None, None, None, None),
                 (4, 2.0, "x", None, None, datetime(2024, 1, 1))])
+    before = clean.missing_cells(df).first()[0]
     filled, fill = clean.impute(df)
+    assert fill.filled == before - clean.missing_cells(filled).first()[0]
     middle = filled.where("n = 2.5").first()
     assert (middle["d"], middle["s"], middle["none"]) == (1.5, "x", "Unknown")
     assert middle["gone"] is None and middle["t"] is None
@@ -72,3 +74,12 @@ def test_dedupe_keeps_one_of_many_copies(table):
     stats = clean.cleaning_stats(df).first()
     assert stats["duplicates_removed"] == 49
     assert stats["duplicate_percent"] == pytest.approx(49 / 51 * 100)
+
+
+def test_given_calendar_columns_are_carried(table):
+    df = table("arrival_time int, patient_id int, hour int, month int, waiting_time double",
+               [(1, 1, None, None, 1.0), (2, 2, 7, None, None), (3, 3, None, None, 3.0)])
+    filled, fill = clean.impute(df)
+    assert {r["hour"] for r in filled.collect()} == {7}
+    assert filled.where("month is null").count() == 3
+    assert fill.filled == 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waitwright.functions.arithmetic import ratio
 from waitwright.functions.rounding import fixed_text, round_scaled
+from waitwright.lineage import cut
 from waitwright.settings import Thresholds
 
 # Fixed texts, reproduced so that downstream consumers can match on them.
@@ -82,6 +83,7 @@ def reading_alerts(df: DataFrame, wait: str = "wait_time", place: str = "departm
 def threshold_alerts(latest: DataFrame, wait: str = "wait_time",
                      place: str = "department") -> DataFrame:
     """Alerts over the newest readings; a single all-clear row when none is due."""
+    latest = cut(latest)  # read by both branches
     alerts = reading_alerts(latest, wait, place).select(place, "level", "message")
     clear = (
         latest.agg(F.count_if(F.col(wait) > 20).alias("due")).where("due = 0")

@@ -6,7 +6,7 @@ projection or filter with literals: no join, and filters can reach the scan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from functools import reduce
 from operator import add, and_
@@ -54,10 +54,11 @@ def missing_cells(df: DataFrame) -> DataFrame:
 # --- imputation -----------------------------------------------------------------------------
 @dataclass(frozen=True)
 class FillValues:
-    """Fitted replacement per column."""
+    """Fitted replacement per column, and how many cells of the fitted rows they fill."""
 
     medians: dict[str, float] = field(default_factory=dict)
     modes: dict[str, str] = field(default_factory=dict)
+    filled: int = 0
 
 
 def _modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
@@ -74,15 +75,25 @@ def _modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return {c: found.get(c, "Unknown") for c in columns}
 
 
-def fit_fill(df: DataFrame) -> FillValues:
+def count_gaps(df: DataFrame) -> dict[str, int]:
+    """Missing cells per column that has both missing and known cells, or only missing text."""
+    counts = df.agg(F.count("*").alias("_rows"), *[
+        F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
+    texts = _of_type(df, T.StringType)
+    return {c: counts[c] for c in df.columns
+            if counts[c] and (c in texts or counts[c] < counts["_rows"])}
+
+
+def fit_fill(df: DataFrame, gaps: dict[str, int] | None = None) -> FillValues:
     """Median of every numeric and mode of every string column that has a gap."""
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
-    numeric = [c for c in _of_type(df, T.NumericType) if gaps[c]]
-    texts = [c for c in _of_type(df, T.StringType) if gaps[c]]
+    gaps = count_gaps(df) if gaps is None else gaps
+    numeric = [c for c in _of_type(df, T.NumericType) if c in gaps]
+    texts = [c for c in _of_type(df, T.StringType) if c in gaps]
     medians = quantile_values(df, numeric, [0.5]) if numeric else {}
     return FillValues(
         medians={column: value for (column, _), value in medians.items()},
         modes=_modes(df, texts) if texts else {},
+        filled=sum(gaps[c] for c in (*numeric, *texts)),
     )
 
 
@@ -95,22 +106,25 @@ def apply_fill(df: DataFrame, fill: FillValues) -> DataFrame:
 
 
 def carry_over_time(df: DataFrame, order: tuple[str, ...] = (ARRIVAL, VISIT_ID),
-                    columns: tuple[str, ...] = CARRIED_COLUMNS) -> DataFrame:
+                    columns: tuple[str, ...] = CARRIED_COLUMNS,
+                    gaps: dict[str, int] | None = None) -> DataFrame:
     """Fill given calendar columns from the previous, else the next, row in time."""
     given = [c for c in columns if c in df.columns]
     if not given:
         return df
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in given]).first()
-    broken = [c for c in given if gaps[c]]
-    if not broken:
-        return df
-    return fill_both_ways(arrange(df, order), broken).df.drop("ord")
-
-
-def impute(df: DataFrame) -> tuple[DataFrame, FillValues]:
-    df = carry_over_time(df)
-    fill = fit_fill(df)
-    return apply_fill(df, fill), fill
+    gaps = count_gaps(df.select(*given)) if gaps is None else gaps
+    broken = [c for c in given if c in gaps]
+    return fill_both_ways(arrange(df, order), broken).df.drop("ord") if broken else df
+
+
+def impute(df: DataFrame, order: tuple[str, ...] = (ARRIVAL, VISIT_ID)
+           ) -> tuple[DataFrame, FillValues]:
+    """Carry calendar columns over time, then fill by median and mode."""
+    gaps = count_gaps(df)
+    carried = sum(n for c, n in gaps.items() if c in CARRIED_COLUMNS)
+    df = carry_over_time(df, order, gaps=gaps)
+    fill = fit_fill(df, {c: n for c, n in gaps.items() if c not in CARRIED_COLUMNS})
+    return apply_fill(df, fill), replace(fill, filled=fill.filled + carried)
 
 
 # --- outlier filters ------------------------------------------------------------------------

@@ -17,8 +17,10 @@ from waitwright.operators import clean, encode, model, report, scale, score, spl
 from waitwright.operators.lags import latest_per, with_history, with_history_stats
 from waitwright.operators.ordering import arrange
 from waitwright.plans.preprocess import department_values, prepare_splits, preprocess
+from waitwright.plans.training import train
 from waitwright.settings import TARGET
 from waitwright.sources import adapters as ad
+from waitwright.sources import tables
 from waitwright.streaming import readings
 
 AS_OF = datetime(2024, 1, 20)
@@ -271,6 +273,55 @@ def feature_matrix(spark, folder):
     return _rounded(prepared.matrix, *floats)
 
 
+@query
+def step_stats(spark, folder):
+    return preprocess(ad.visits_dirty(spark, folder), AS_OF).stats.to_frame(spark)
+
+
+@query
+def command_features(spark, folder):
+    requests = ad.scoring_requests(spark, folder).where("queue_length_at_arrival >= 0")
+    df = af.with_command_features(requests)
+    irrational = ["hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos",
+                  "log_queue"]
+    names = ["is_peak_hours", "is_evening", "is_weekend", "workload_index", "queue_pressure",
+             "counters_per_patient", "efficiency_gap"]
+    return _rounded(df.select("request_id", *names, *irrational), *irrational)
+
+
+# --- files ------------------------------------------------------------------------------------
+@query
+def csv_visits(spark, folder):
+    path = scratch_path(spark, "csv")
+    rows = ad.plain_visits(spark, folder).select(
+        ID, F.when(F.col(ID) % 10 == 0, F.lit("unknown")).otherwise(
+            F.date_format("arrival_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("arrival_time"),
+        "department", F.when(F.col(ID) % 9 != 0, F.col(TARGET)).alias(TARGET),
+        "queue_length_at_arrival")
+    rows.write.option("header", True).csv(path)
+    return tables.read_visits_csv(spark, path, ordered=True).withColumn(
+        "arrival_time", F.col("arrival_time").cast("timestamp_ntz"))
+
+
+@query
+def recommendation_csv(spark, folder):
+    path = scratch_path(spark, "csv")
+    tables.write_recommendations(al.recommend(_predictions(spark, folder)), path)
+    written = spark.read.option("header", True).csv(path)
+    return written.withColumn("Predicted Wait (min)",
+                              F.round(F.col("`Predicted Wait (min)`").cast("double"), 6))
+
+
+@query
+def encoder_reload(spark, folder):
+    path = scratch_path(spark, "encoder")
+    df = ad.plain_visits(spark, folder).select(ID, "department", "patient_complexity")
+    columns = ["department", "patient_complexity"]
+    tables.save_encoder(encode.fit_encoder(df, columns), path)
+    return encode.apply_encoder(df, tables.load_encoder(spark, path), columns, suffix="").select(
+        ID, *columns)
+
+
 # --- reports ----------------------------------------------------------------------------------
 def _latest(spark, folder):
     return latest_per(ad.department_feed(spark, folder, arrivals=False), tie=ID)
@@ -462,22 +513,28 @@ def alloc_cooldown(spark, folder):
     return al.cooldown(_runs(spark, folder))
 
 
-@query
-def alloc_with_cooldown(spark, folder):
-    states = al.department_states(
+def _minute_states(spark, folder):
+    return (
         ad.plain_visits(spark, folder).groupBy(
             F.lit("main").alias("site"), F.date_trunc("minute", "arrival_time")
             .cast("timestamp_ntz").alias("run_time"), "department")
         .agg(F.max(TARGET).alias("wait_time"),
              F.max("queue_length_at_arrival").cast("int").alias("queue_length"),
              F.max("system_utilization").alias("utilization"),
-             F.min("total_counters_available").cast("int").alias("current_counters")),
-        by=("site", "run_time"))
-    results = al.allocate_with_cooldown(states, al.cooldown(states))
+             F.min("total_counters_available").cast("int").alias("current_counters")))
+
+
+def _response(results):
     return results.select("site", "run_time", "department", "current_counters",
                           "recommended_counters", "reasoning", "alert_level")
 
 
+@query
+def alloc_with_cooldown(spark, folder):
+    states = al.department_states(_minute_states(spark, folder), by=("site", "run_time"))
+    return _response(al.allocate_with_cooldown(states, al.cooldown(states)))
+
+
 # --- scoring ----------------------------------------------------------------------------------
 @query
 def score_fallback(spark, folder):
@@ -614,6 +671,17 @@ def score_batch(spark, folder):
         "violations", F.array_join("violations", ","))
 
 
+@query
+def training_summary(spark, folder):
+    path = scratch_path(spark, "summary")
+    run = train(ad.visits_dirty(spark, folder), _predictions(spark, folder), AS_OF,
+                {"trees": model.randomised_trees(trees=3, depth=4)})
+    tables.write_summary(spark, run.summary, path)
+    return tables.read_metrics(spark, path).select(
+        "status", "data.samples", "data.features", "model.name", "model.rmse",
+        "allocation.recommendations_generated", "allocation.alerts_generated")
+
+
 @query
 def prepared_splits(spark, folder):
     prepared = prepare_splits(ad.timed_visits(spark, folder))
@@ -656,6 +724,17 @@ def stream_alerts(spark, folder):
     return _drain(spark, readings.alert_stream(_feed_stream(spark, folder)))
 
 
+@query
+def stream_allocation(spark, folder):
+    path, history = scratch_path(spark, "states"), scratch_path(spark, "history")
+    _minute_states(spark, folder).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    states = al.department_states(spark.readStream.schema(schema).parquet(path),
+                                  by=("site", "run_time"))
+    readings.allocate_batches(states, history, scratch_path(spark, "state")).awaitTermination()
+    return _response(spark.read.parquet(history))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Dirty visits to per-department efficiency: dedupe, quantile filter, calendar, report."""
     distinct = cut(clean.remove_duplicates(ad.visits_dirty(spark, folder)))

@@ -18,14 +18,16 @@ from waitwright.operators.clean import (
     Bounds, FillValues, StepStats, drop_missing_target, filter_deviation, fit_quantile_range,
     impute, nan_to_null, quality_report, remove_duplicates, within,
 )
-from waitwright.operators.encode import encode_categories, encode_in_place
+from waitwright.operators.encode import encode_categories, encode_in_place, fit_encoder
 from waitwright.operators.lags import with_history, with_history_stats
 from waitwright.operators.ordering import Arranged, arrange
 from waitwright.operators.scale import (
     FlagLimits, Scaler, apply_flags, apply_scaler, fit_flags, fit_scaler,
 )
 from waitwright.operators.split import split_in_two_steps
-from waitwright.settings import ARRIVAL, FEATURES, LAGS, TARGET, VISIT_ID, WINDOWS, Z_LIMIT
+from waitwright.settings import (
+    ARRIVAL, CATEGORICAL_COLUMNS, FEATURES, LAGS, TARGET, VISIT_ID, WINDOWS, Z_LIMIT,
+)
 from waitwright.sources.tables import require_schema
 
 DEPARTMENT_LIMIT = 1000
@@ -58,13 +60,13 @@ def clean(df: DataFrame) -> tuple[Arranged, FillValues, list[Bounds], StepStats]
     """
     require_schema(df)
     stats, seen = StepStats(), Observation()
-    source = nan_to_null(df).observe(seen, F.count("*").alias("rows"),
-                                     F.count_if(F.lit(True)).alias("all"))
+    source = nan_to_null(df).observe(seen, F.count("*").alias("rows"))
     distinct = cut(remove_duplicates(source))
     rows = distinct.count()
     stats.put("original_size", seen.get["rows"])
     stats.put("duplicates_removed", seen.get["rows"] - rows)
-    filled, fill = impute(distinct)
+    filled, fill = impute(distinct, time_order(distinct))
+    stats.put("missing_values_filled", fill.filled)
     bounds = fit_quantile_range(filled, [TARGET])
     kept = within(filled, bounds)
     arranged = arrange(kept, time_order(kept))
@@ -80,7 +82,8 @@ def engineer(arranged: Arranged, encoder: DataFrame | None = None, *,
     df = with_history(arranged.replace(with_calendar(arranged.df)), decimals=decimals).df
     df = with_transforms(with_interactions(with_cyclical(df)))
     if encoder is None:
-        _, encoder = encode_categories(with_calendar(arranged.df))
+        known = with_calendar(arranged.df)
+        encoder = fit_encoder(known, [c for c in CATEGORICAL_COLUMNS if c in known.columns])
     return encode_categories(df, encoder)
 
 

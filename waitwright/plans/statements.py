@@ -393,6 +393,28 @@ from built join {_ranks('department', 'built')} d on d.v = department
 join {_ranks('patient_complexity', 'built')} c on c.v = patient_complexity
 join {_ranks('time_period', 'built')} t on t.v = time_period"""
 
+STATEMENTS["step_stats"] = f"""with {FILLED}, sizes as (
+select (select count(*) from dirty) as source, (select count(*) from tidy) as distinct_rows,
+  (select count(*) from filled
+   where waiting_time >= (select quantile_cont(waiting_time, 0.01) from filled)
+     and waiting_time <= (select quantile_cont(waiting_time, 0.99) from filled)) as kept)
+select metric, value from sizes, lateral (values ('original_size', source),
+  ('duplicates_removed', source - distinct_rows), ('final_size', kept),
+  ('waiting_time_outliers_removed', distinct_rows - kept), ('removed_records', source - kept),
+  ('missing_values_filled', (select sum({MISSING_TIDY}) from tidy)::bigint),
+  ('num_features', 38)) as t(metric, value)"""
+
+# --- files ------------------------------------------------------------------------------------
+STATEMENTS["csv_visits"] = f"""with {VISITS} select patient_id,
+  case when patient_id % 10 <> 0 then arrival_time end as arrival_time, department,
+  case when patient_id % 9 <> 0 then waiting_time end as waiting_time,
+  cast(queue_length_at_arrival as integer) as queue_length_at_arrival from visits"""
+STATEMENTS["recommendation_csv"] = f"""with {RECOMMENDED} select department as "Department",
+  cast(current_counters as varchar) as "Current Counters",
+  cast(recommended as varchar) as "Recommended Counters", upper(action) as "Action",
+  round(wait_time, 6) as "Predicted Wait (min)" from advice"""
+STATEMENTS["encoder_reload"] = STATEMENTS["encode_text_columns"]
+
 # --- reports ----------------------------------------------------------------------------------
 STATEMENTS["latest_by_department"] = f"with {FEED} select * from latest"
 STATEMENTS["live_kpis"] = f"""with {FEED}, kpi as (
@@ -628,6 +650,18 @@ STATEMENTS["request_features"] = f"""with {REQUESTS} select request_id,
   {_wave('sin', 'hour', 24, 'hour_sin')}, {_wave('cos', 'hour', 24, 'hour_cos')},
   round(queue * used / nullif(counters, 0)::double, 6) as workload_index,
   round(ln(1 + queue::double), 6) as log_queue from requests where queue >= 0"""
+STATEMENTS["command_features"] = f"""with {REQUESTS}, more as (
+select r.*, cast(isodow(arrival_time) - 1 as integer) as dow, month(arrival_time) as month
+from requests r join visits on patient_id = request_id where queue >= 0)
+select request_id, cast(hour between 9 and 12 as integer) as is_peak_hours,
+  cast(hour between 16 and 19 as integer) as is_evening, cast(dow >= 5 as integer) as is_weekend,
+  queue * used / cast(counters + 1 as double) as workload_index, queue * used as queue_pressure,
+  cast(counters as double) / cast(queue + 1 as double) as counters_per_patient,
+  grade - used as efficiency_gap,
+  {_wave('sin', 'hour', 24, 'hour_sin')}, {_wave('cos', 'hour', 24, 'hour_cos')},
+  {_wave('sin', 'dow', 7, 'dow_sin')}, {_wave('cos', 'dow', 7, 'dow_cos')},
+  {_wave('sin', 'month', 12, 'month_sin')}, {_wave('cos', 'month', 12, 'month_cos')},
+  round(ln(1 + queue::double), 6) as log_queue from more"""
 STATEMENTS["department_predictions"] = f"""with {FEED}, guess as (
 select department, cast(queue_length as double) / cast(active_counters as double) * 3.5::double
   as p from latest)
@@ -677,3 +711,4 @@ from feed group by 1, 2 having date_trunc('hour', "timestamp") + interval 1 hour
 STATEMENTS["stream_alerts"] = f"""with {FEED} select "timestamp", department, wait_time,
   case when wait_time < 15 then 'Normal' when wait_time < 30 then 'Busy' else 'Critical' end
     as status, {ALERT} from feed where wait_time > 20"""
+STATEMENTS["stream_allocation"] = STATEMENTS["alloc_with_cooldown"]
