@@ -19,15 +19,12 @@ _HUGE = 1.7e308
 
 
 def _long_form(df: DataFrame, columns: list[str], by: tuple[str, ...]) -> DataFrame:
+    pairs = df.select(*by, *[F.col(name).cast("double").alias(name) for name in columns])
     if len(columns) == 1:
         name = columns[0]
-        pairs = df.select(*by, F.lit(name).alias("column"), F.col(name).cast("double").alias("v"))
+        pairs = pairs.select(*by, F.lit(name).alias("column"), F.col(name).alias("v"))
     else:
-        stacked = F.explode(F.array(*[
-            F.struct(F.lit(name).alias("column"), F.col(name).cast("double").alias("v"))
-            for name in columns
-        ]))
-        pairs = df.select(*by, stacked.alias("pair")).select(*by, "pair.column", "pair.v")
+        pairs = pairs.unpivot(list(by), columns, "column", "v")
     return pairs.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
@@ -112,15 +109,15 @@ def exact_quantiles(
     long = _long_form(df, columns, by)
     keys = [*by, "column"]
     wanted = F.array(*[F.lit(float(prob)) for prob in probs])
-    shape = long.groupBy(*keys).agg(
+    # One row per group and column, read again below instead of scanning twice.
+    shape = cut(long.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.approx_count_distinct("v").alias("distinct"))
+        F.approx_count_distinct("v").alias("distinct")))
     if (shape.agg(F.max("distinct")).first()[0] or 0) <= distinct_limit:
-        totals = Window.partitionBy(*keys)
-        counted = long.groupBy(*keys, "v").agg(F.count("*").alias("cnt"))
-        return _settle(
-            counted.withColumns({"n": F.sum("cnt").over(totals), "below": F.lit(0),
-                                 "probs": wanted}), keys, method)
+        sizes = shape.select(*keys, "n")
+        counted = long.groupBy(*keys, "v").agg(F.count("*").alias("cnt")).join(
+            broadcast_if_small(sizes) if by else F.broadcast(sizes), keys)
+        return _settle(counted.withColumns({"below": F.lit(0), "probs": wanted}), keys, method)
     targets = shape.withColumn("prob", F.explode(wanted)).withColumn("below", F.lit(0))
     targets = cut(targets.select(*keys, "prob", "n", "below", "lo", "hi", "distinct"))
     # A step cuts a bracket 4096-fold in stretched space, so twelve exhaust all doubles.
