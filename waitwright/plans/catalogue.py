@@ -684,9 +684,11 @@ def training_summary(spark, folder):
 
 @query
 def prepared_splits(spark, folder):
-    prepared = prepare_splits(ad.timed_visits(spark, folder))
-    return prepared.rows.groupBy("split").agg(
-        F.count("*").alias("rows"), F.round(F.avg("wait_time_minutes"), 4).alias("mean_wait"))
+    rows = prepare_splits(ad.timed_visits(spark, folder)).rows
+    names = ["hour_sin", "log_queue", "prev_wait_1", "rolling_wait_5", "rolling_wait_std_5",
+             "dept_OPD", "util_high", "high_arrival_rate", "low_capacity", "department",
+             "queue_pressure", "is_peak_hours"]
+    return _rounded(rows.select(ID, "split", "wait_time_minutes", *names), *names, digits=5)
 
 
 # --- streams ----------------------------------------------------------------------------------

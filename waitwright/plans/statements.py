@@ -699,6 +699,48 @@ select count(*) as rows, round(sqrt(avg((y - p) * (y - p))), 6) as rmse,
   count(*) filter (where y = 0) as zero_labels
 from scored, (select avg(y) as m from scored)"""
 
+_FRAME5 = _rows("4 preceding", "current row")
+_SCALED = ("hour_sin", "log_queue", "prev_wait_1", "rolling_wait_5", "rolling_wait_std_5",
+           "dept_OPD", "util_high", "high_arrival_rate", "low_capacity", "department",
+           "queue_pressure", "is_peak_hours")
+_MOMENTS = ", ".join(f'avg("{c}"::double) as "{c}_m", stddev_pop("{c}"::double) as "{c}_s"'
+                     for c in _SCALED)
+_STANDARD = ", ".join(
+    f'round(("{c}"::double - "{c}_m") / case when "{c}_s" = 0 then 1 else "{c}_s" end, 5) '
+    f'+ 0.0::double as "{c}"' for c in _SCALED)
+STATEMENTS["prepared_splits"] = f"""with {VISITS}, rates as (
+select *, cast(arrivals_this_hour as double) / 24.0::double as arrival_rate,
+  lag(waiting_time, 1) over ({ORDER}) as lag_1,
+  {_mean('waiting_time', 100, _FRAME5)} as rolling_wait_5,
+  stddev_samp(waiting_time) over {_FRAME5} as std_5 from visits),
+wide as (
+select patient_id, waiting_time, sin(2 * pi() * hour(arrival_time) / 24::double) as hour_sin,
+  ln(1 + queue_length_at_arrival::double) as log_queue,
+  coalesce(lag_1, (select median(lag_1) from rates)) as prev_wait_1, rolling_wait_5,
+  coalesce(std_5, (select median(std_5) from rates)) as rolling_wait_std_5,
+  cast(department = 'OPD' as integer) as "dept_OPD",
+  cast(system_utilization > 0.75 and system_utilization <= 0.9 as integer) as util_high,
+  cast(arrival_rate > (select quantile_cont(arrival_rate, 0.75) from rates) as integer)
+    as high_arrival_rate,
+  cast(total_counters_available <= (select quantile_cont(total_counters_available, 0.25)
+    from rates) as integer) as low_capacity,
+  case department when 'Diagnostics' then 0 when 'Emergency' then 1 when 'OPD' then 2 else 3 end
+    as department,
+  queue_length_at_arrival * system_utilization as queue_pressure,
+  cast(hour(arrival_time) between 9 and 12 as integer) as is_peak_hours from rates),
+kept as (
+select *, {_HASH.format(key='patient_id', bits=2147483648, seed=42)} as first,
+  {_HASH.format(key='patient_id * 31 + 17', bits=2147483648, seed=43)} as second from wide
+where abs((waiting_time - (select avg(waiting_time) from wide))
+  / (select stddev_samp(waiting_time) from wide)) < 3),
+divided as (
+select *, case when first < cast(floor(0.15::double * 4294967296) as bigint) then 'test'
+  when second < cast(floor(0.15::double / 0.85::double * 4294967296) as bigint) then 'validation'
+  else 'train' end as split from kept),
+moments as (select {_MOMENTS} from divided where split = 'train')
+select patient_id, split, waiting_time as wait_time_minutes, {_STANDARD}
+from divided, moments"""
+
 # --- streams ----------------------------------------------------------------------------------
 STATEMENTS["stream_latest"] = f"""with {FEED} select "timestamp", department, queue_length,
   wait_time, active_counters, patient_id from latest"""
