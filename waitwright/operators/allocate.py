@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from waitwright.functions.calendar import epoch_micros
 from waitwright.functions.rounding import fixed_text, round_exact
 from waitwright.functions.rules import alert_level
+from waitwright.lineage import cut
 from waitwright.operators.ordering import arrange, fill_forward, over_blocks
 from waitwright.settings import DEPARTMENTS, Department, Thresholds
 
@@ -269,7 +270,8 @@ def cooldown(runs: DataFrame, minutes: int = Thresholds().cooldown_minutes, *,
         "_prev_site": F.lag(site, 1).over(window), "_prev_us": F.lag("_us", 1).over(window)})
     same = F.coalesce(F.col("_prev_site") == F.col(site), F.lit(False))
     opens = ~same | (F.col("_us") - F.col("_prev_us") >= gap_us)
-    marked = placed.replace(placed.df.withColumn("_segment", F.when(opens, F.col("ord"))))
+    # Written once: the fill below reads it for block edges and for rows.
+    marked = placed.replace(cut(placed.df.withColumn("_segment", F.when(opens, F.col("ord")))))
     walked = (
         fill_forward(marked, ["_segment"]).df.select(site, ts, "_us", "_segment")
         .repartition("_segment").sortWithinPartitions("_segment", "_us")

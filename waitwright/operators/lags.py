@@ -52,7 +52,8 @@ def with_history(arranged: Arranged, wait: str = TARGET, queue: str = QUEUE, *,
                            F.count_if(F.col(queue).isNull()).alias("queue"),
                            F.min_by(wait, "ord").alias("first")).first()
     if gaps["wait"] or gaps["queue"]:
-        return fill_backward(built, [*headed, "rolling_queue_3", "rolling_queue_5"])
+        # Written once: the fill reads it for block edges and for rows.
+        return fill_backward(built.replace(cut(built.df)), [*headed, "rolling_queue_3", "rolling_queue_5"])
     # Without gaps only the head is empty, and the next known value is the first wait.
     filled = {c: F.coalesce(F.col(c), F.lit(gaps["first"])) for c in headed}
     return built.replace(built.df.withColumns(filled))
