@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waitwright.llm import exact, mixing, pii
+from waitwright.lineage import cut
+from waitwright.llm import decontaminate, exact, mixing, pii, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    """Vocabulary file of the public word-level BPE tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query
 def op1_pii(spark, folder):
     return pii.digest(pii.find(table(spark, folder, "documents").select("doc_id", "text")))
@@ -32,6 +40,26 @@ def op2_exact_dedup(spark, folder):
     return exact.groups(table(spark, folder, "documents"))
 
 
+@query
+def op3_warc(spark, folder):
+    records = warc.read(cut(warc.write(table(spark, folder, "pages"))))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op8_token_ids(spark, folder):
+    manifest = tokens.write(table(spark, folder, "documents"), word_tokenizer())
+    return tokens.read(manifest).select(
+        F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"),
+        F.col("crc32").alias("ids_crc32"))
+
+
+@query
+def op9_decontamination(spark, folder):
+    return decontaminate.verdicts(*decontaminate.hits(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
 @query
 def op10_mixing(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"), carry=("doc_id", "source"))

@@ -13,6 +13,57 @@ STATEMENTS = {
             from n window w as (partition by norm order by size desc, doc_id nulls last))
         select doc_id, keep_id, group_size, place = 1 as kept, sha256(norm) as text_sha256 from r
     """,
+    "op3_warc": r"""
+        with p as (
+            select page_id, strlen(coalesce(html, '')) as payload_bytes,
+                   sha1(coalesce(html, '')) as hex,
+                   max(page_id) over (partition by coalesce(html, '')) as newest
+            from pages)
+        select page_id, payload_bytes,
+               list_reduce(list_transform(range(32), lambda i: substr(
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(hex, (5 * (i // 4) + 1)::int, 5))::int
+                         >> (15 - 5 * (i % 4))::int) & 31), 1)), lambda a, b: a || b)
+                   as payload_digest,
+               case when page_id < newest then 'revisit' else 'response' end as record_type,
+               case when page_id < newest then newest end as refers_to
+        from p
+    """,
+    "op9_decontamination": r"""
+        with d as (
+            select row_number() over () as r, doc_id,
+                   list_filter(regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+            from documents),
+        b as (
+            select item_id,
+                   list_filter(regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+            from benchmark),
+        windows as (
+            select distinct item_id, least(13, len(w)) as size,
+                   array_to_string(w[s:s + least(13, len(w)) - 1], ' ') as words
+            from (select *, unnest(range(1, len(w) - least(13, len(w)) + 2)) as s
+                  from b where len(w) > 0)),
+        places as (
+            select r, s, size, array_to_string(w[s:s + size - 1], ' ') as words
+            from (select r, w, size, unnest(range(1, len(w) - size + 2)) as s
+                  from d, (select distinct size from windows) where len(w) >= size)),
+        found as (select r, item_id, s, size from places join windows using (size, words)),
+        hit as (select r, count(distinct p) as n_hit
+                from (select r, unnest(range(s, s + size)) as p from found) group by r),
+        named as (select r, count(distinct item_id) as n_items,
+                         string_agg(item_id::varchar, ',' order by item_id::varchar) as names
+                  from (select distinct r, item_id from found) group by r)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit,
+               coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from d left join hit using (r) left join named using (r)
+    """,
     "op10_mixing": r"""
         with recursive rows as (
             select doc_id, source, greatest(1, length(coalesce(text, '')))::bigint as n,
