@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waitwright.lineage import cut
-from waitwright.llm import decontaminate, exact, mixing, pii, tokens, warc
+from waitwright.llm import decontaminate, exact, mixing, near, pii, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,12 @@ def op3_warc(spark, folder):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op6_near_dedup(spark, folder):
+    return near.classes(table(spark, folder, "documents"), size=2).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op8_token_ids(spark, folder):
     manifest = tokens.write(table(spark, folder, "documents"), word_tokenizer())

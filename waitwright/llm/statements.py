@@ -29,6 +29,32 @@ STATEMENTS = {
                case when page_id < newest then newest end as refers_to
         from p
     """,
+    "op6_near_dedup": r"""
+        with recursive w as (
+            select doc_id, list_filter(regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                       lambda x: x <> '') as w
+            from documents),
+        sh as (
+            select distinct doc_id, shingle from (
+                select doc_id, unnest(case when len(w) > 1
+                           then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                           when len(w) = 1 then w else [] end) as shingle
+                from w)),
+        n as (select doc_id, count(shingle) as n from w left join sh using (doc_id)
+              group by doc_id),
+        shared as (select a.doc_id as a, b.doc_id as b, count(*) as c
+                   from sh a join sh b using (shingle) where a.doc_id < b.doc_id group by 1, 2),
+        links as (select a, b from shared join n na on na.doc_id = a join n nb on nb.doc_id = b
+                  where 100 * c >= 80 * (na.n + nb.n - c)),
+        both_ways as (select a, b from links union all select b, a from links),
+        reach(a, b) as (select doc_id, doc_id from n union
+                        select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a),
+        parts as (select a as doc_id, min(b) as component_id from reach group by a)
+        select doc_id, n as n_shingles, component_id, doc_id = component_id as kept
+        from n join parts using (doc_id)
+    """,
     "op9_decontamination": r"""
         with d as (
             select row_number() over () as r, doc_id,

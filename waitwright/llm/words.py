@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _random = np.random.default_rng(20240601)
 BYTE_VALUES = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -122,7 +123,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Slices of a batch with about ``most`` bytes of text each, at least one row."""
     text = batch.column(column)
     lengths = np.asarray(
-        pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False),
+        pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False),
         np.int64)
     if not len(lengths):
         return
