@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waitwright.lineage import cut
-from waitwright.llm import decontaminate, exact, mixing, near, pii, tokens, warc
+from waitwright.llm import decontaminate, exact, mixing, near, pii, suffix_tree, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +52,15 @@ def op6_near_dedup(spark, folder):
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op7_suffix_tree(spark, folder):
+    documents = table(spark, folder, "documents")
+    held = suffix_tree.held_out(F.col("doc_id"))
+    return suffix_tree.scores(documents, ~held).select(
+        "doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
+
+
 @query
 def op8_token_ids(spark, folder):
     manifest = tokens.write(table(spark, folder, "documents"), word_tokenizer())
