@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waitwright.lineage import cut
-from waitwright.llm import decontaminate, exact, mixing, near, pii, suffix_tree, tokens, warc
+from waitwright.llm import (
+    decontaminate, exact, mixing, near, pii, quality, suffix_tree, tokens, toxicity, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +48,17 @@ def op3_warc(spark, folder):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op4_toxicity(spark, folder):
+    documents = table(spark, folder, "documents")
+    return toxicity.score(documents, toxicity.learn(documents, table(spark, folder, "labels")))
+
+
+@query
+def op5_quality(spark, folder):
+    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op6_near_dedup(spark, folder):
     return near.classes(table(spark, folder, "documents"), size=2).select(

@@ -18,23 +18,27 @@ INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
 WINDOW = 1 << 16
 
 
-def fold_table(kept: np.ndarray) -> np.ndarray:
-    """Byte table: 0 for separators, else the byte with A-Z lower-cased."""
+def fold_table(kept: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Byte table: 0 for separators, else the byte, A-Z lower-cased if asked for."""
     table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
+    if lower:
+        table[65:91] += 32
     table[~kept] = 0
     return table
 
 
 _codes = np.arange(256)
 #: Everything but space and 09-0D.
-SPACED = fold_table(~((_codes == 32) | ((_codes >= 9) & (_codes <= 13)) | (_codes == 0)))
+_unspaced = ~((_codes == 32) | ((_codes >= 9) & (_codes <= 13)) | (_codes == 0))
+SPACED = fold_table(_unspaced)
+#: The same with the letters as they are.
+SPACED_AS_IS = fold_table(_unspaced, lower=False)
 #: Digits, letters and every byte of a character beyond ASCII.
 ALNUM = fold_table(((_codes >= 48) & (_codes <= 57)) | ((_codes >= 65) & (_codes <= 90))
                    | ((_codes >= 97) & (_codes <= 122)) | (_codes >= 128))
 # A NUL is part of a word between spaces; it must not read as a separator there.
 NUL_STAND_IN = np.uint8(0xFF)  # no UTF-8 text holds this byte
-SPACED[0] = NUL_STAND_IN
+SPACED[0] = SPACED_AS_IS[0] = NUL_STAND_IN
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -105,19 +109,23 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            out = np.empty(len(self.starts), np.uint64)
-            up = down = np.zeros(0, np.uint64)
-            for a in range(0, len(out), WINDOW):
-                s, e = self.starts[a:a + WINDOW], self.ends[a:a + WINDOW]
-                low, span = s[0], int(e[-1] - s[0])
-                if len(up) < span:
-                    up, down = powers(FACTOR, span), powers(INVERSE, span)
-                total = np.zeros(span + 1, np.uint64)
-                np.cumsum(BYTE_VALUES[self.data[low:low + span]] * up[:span], out=total[1:])
-                out[a:a + WINDOW] = (total[e - low] - total[s - low]) * down[s - low]
-            self._hashes = mix(out)
+            self._hashes = self.range_hashes(self.starts, self.ends)
         return self._hashes
 
+    def range_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of byte ranges, ordered by start, each within a word."""
+        out = np.empty(len(starts), np.uint64)
+        up = down = np.zeros(0, np.uint64)
+        for a in range(0, len(out), WINDOW):
+            s, e = starts[a:a + WINDOW], ends[a:a + WINDOW]
+            low, span = s[0], int(e.max() - s[0])
+            if len(up) < span:
+                up, down = powers(FACTOR, span), powers(INVERSE, span)
+            total = np.zeros(span + 1, np.uint64)
+            np.cumsum(BYTE_VALUES[self.data[low:low + span]] * up[:span], out=total[1:])
+            out[a:a + WINDOW] = (total[e - low] - total[s - low]) * down[s - low]
+        return mix(out)
+
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Slices of a batch with about ``most`` bytes of text each, at least one row."""
