@@ -96,7 +96,7 @@ def expected_ids(texts):
 def test_ids_of_odd_texts(spark):
     odd = ["", None, "  ", "a", "Don't STOP\n\nnow", "é é", "áb ́c", "tab\tnl\r\nx y z",
            "x\x0by\x0cz\x1cq\x85w", "<|endoftext|> <|startoftext|>a", "ΣΑΣ ΣΑΣ", "12345 3.14",
-           "😀 😀👍", "\x00 a\x00b", "İstanbul ǅ", "long " * 30000, "w" * 5000]
+           "😀 😀👍", "a~b ~ c~ x", "<|ENDOFTEXT|>", "\x00 a\x00b", "İstanbul ǅ", "long " * 30000, "w" * 5000]
     rows = list(enumerate(odd)) + [(5, "again"), (None, "none")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     manifest = tokens.write(frame.repartition(5), word_tokenizer())

@@ -12,34 +12,37 @@ block u64. Row index: number of ids of each row u64, then the keys i64, then 1 f
 not null, u8. Footer: blocks u64, rows u64, ids u64, index start u64, magic. All little-endian. A
 block can be read alone through the index.
 
-Encoding runs over distinct pieces between white space, each encoded once by the tokenizer and
-remembered up to a fixed number: the tokenizer drops white space, so the ids of a text are those
-of its pieces in order. Defined cases: a null or empty text has only the end id; a null id sorts first; rows
+Encoding runs over distinct pieces between white space (space and 09-0D), each encoded once by the
+tokenizer and remembered: the tokenizer must drop white space and never join characters across it,
+so that the ids of a text are those of its pieces in order. Defined cases: a null or empty text has only the end id; a null id sorts first; rows
 that repeat an id keep their number (ordered by text); an empty table writes nothing.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waitwright.lineage import cut
 from waitwright.llm.files import Written, opened, shared_folder
-from waitwright.llm.words import pieces
+from waitwright.llm.words import SPACED_AS_IS, Words, pieces
 
 MAGIC = b"PFOR1\n"
 BLOCK = 4096
 PERCENTILE = 95
 HEAD = struct.Struct("<IIBI")
 FOOT = struct.Struct("<QQQQ")
-REMEMBERED = 400_000  # pieces whose ids a task keeps
+REMEMBERED = 1_500_000  # pieces whose ids a worker keeps before it starts anew, some 60 MB
+RECENT = 100_000
+LEARN_STEP = 1024       # pieces given to the tokenizer at once
+SEPARATOR = "~"
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -158,82 +161,130 @@ class IdReader:
             yield np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]):
+    keys, values = np.r_[a[0], b[0]], np.r_[a[1], b[1]]
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 class Encoder:
-    """Ids of many texts, each distinct piece between white space encoded once."""
+    """Ids of many texts, each distinct piece between white space encoded once.
+
+    Pieces are known by 64-bit numbers (``words``). New ones go to the tokenizer many at a time,
+    joined by a separator of one id; pieces that hold the separator go alone.
+    """
 
-    def __init__(self, path: str, end_id: int | None):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = end_id
-        self.known: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.bounds: list[int] = [0]
-
-    def _learn(self, new: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for piece, item in zip(new, encoded):
-            a = self.bounds[-1]
-            b = a + len(item.ids)
-            while b > len(self.pool):
-                self.pool = np.r_[self.pool, np.zeros(len(self.pool), np.uint32)]
-            self.pool[a:b] = item.ids
-            self.known[piece] = len(self.bounds) - 1
-            self.bounds.append(b)
-
-    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        probe = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.joint = probe[0] if len(probe) == 1 else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.pool = np.zeros(1 << 20, np.uint32)
+        self.bounds = np.zeros(1 << 18, np.int64)
+        self.count = 0
+        # Known numbers, sorted, and their places in ``bounds``: a large and a recent part.
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, last, total = int(self.bounds[self.count]), self.count + len(sizes), len(ids)
+        while first + total > len(self.pool):
+            self.pool = np.r_[self.pool, np.zeros(len(self.pool), np.uint32)]
+        while last >= len(self.bounds):
+            self.bounds = np.r_[self.bounds, np.zeros(len(self.bounds), np.int64)]
+        self.pool[first:first + total] = ids
+        self.bounds[self.count + 1:last + 1] = first + np.cumsum(sizes)
+        self.count = last
+
+    def _learn(self, joined: list[str], alone: list[str]) -> None:
+        encode = lambda text: np.array(
+            self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        for at in range(0, len(joined), LEARN_STEP):
+            ids = encode(f" {SEPARATOR} ".join(joined[at:at + LEARN_STEP]))
+            joint = ids == self.joint
+            self._add(ids[~joint], np.diff(np.r_[-1, np.flatnonzero(joint), len(ids)]) - 1)
+        for piece in alone:
+            ids = encode(piece)
+            self._add(ids, np.array([len(ids)]))
+
+    def _places(self, hashes: np.ndarray, words: Words, firsts: np.ndarray) -> np.ndarray:
+        """Place in ``bounds`` of each distinct piece, learning those not known."""
+        place = np.full(len(hashes), -1, np.int64)
+        for known, at in self.parts:
+            if len(known):
+                near = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                place = np.where(known[near] == hashes, at[near], place)
+        missing = np.flatnonzero(place < 0)
+        texts = [words.text(w) for w in firsts[missing]]
+        alone = np.array([self.joint is None or SEPARATOR in t for t in texts], bool)
+        missing = np.r_[missing[~alone], missing[alone]]
+        place[missing] = self.count + np.arange(len(missing))
+        self._learn([t for t, a in zip(texts, alone) if not a],
+                    [t for t, a in zip(texts, alone) if a])
+        large, recent = self.parts
+        recent = _merged(recent, (hashes[missing], place[missing]))
+        if len(recent[0]) > RECENT:
+            large, recent = _merged(large, recent), (recent[0][:0], recent[1][:0])
+        self.parts = [large, recent]
+        return place
+
+    def encode(self, column, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in row order and the number of each row, end ids included."""
-        column = column.cast(pa.large_string()).fill_null("")
-        for space in ("\n", "\t", "\r"):
-            column = pc.replace_substring(column, space, " ")
-        split = pc.split_pattern(column, " ")
-        flat = split.flatten()
-        rows = np.diff(np.asarray(split.offsets))
-        coded = flat.dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known, self.bounds = {}, [0]
-        self._learn([piece for piece in distinct if piece not in self.known])
-        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        bounds = np.asarray(self.bounds, np.int64)
-        word = number[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else \
-            np.zeros(0, np.int64)
-        sizes = bounds[word + 1] - bounds[word]
+        if self.count > REMEMBERED:
+            self.forget()
+        words = Words(column, SPACED_AS_IS)
+        distinct, firsts, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        place = self._places(distinct, words, firsts)[which]
+        begins = self.bounds[place]
+        sizes = self.bounds[place + 1] - begins
         ends = np.cumsum(sizes)
-        per_row = np.diff(np.r_[0, ends][np.r_[0, np.cumsum(rows)]])
+        per_row = np.diff(np.r_[0, ends][words.rows])
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(bounds[word] - (ends - sizes), sizes) + np.arange(total)]
-        if self.end is not None:
-            ids = np.insert(ids, np.cumsum(per_row), np.uint32(self.end))
+        ids = self.pool[np.repeat(begins - (ends - sizes), sizes) + np.arange(total)]
+        if end_id is not None:
+            ids = np.insert(ids, np.cumsum(per_row), np.uint32(end_id))
             per_row = per_row + 1
         return ids, per_row
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process: later tasks find the pieces of earlier ones known."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def write(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
-          end_id: int | None = 2, folder: str | None = None) -> DataFrame:
-    """Write id files in ascending key order; returns the manifest, one row per file.
+          end_id: int | None = 2, folder: str | None = None,
+          order: tuple[Column, ...] | None = None) -> DataFrame:
+    """Write id files in ascending key order, or in ``order``; returns the manifest.
 
-    Manifest: part (its place), uri, rows, ids, and the ids of all files before it (``before``).
+    Manifest, one row per file: part (its place), uri, rows, ids, and the ids of all files before it (``before``).
     """
     spark = df.sparkSession
     target = folder or shared_folder(spark, "ids")
-    ordered = (df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-               .repartitionByRange("key")
-               .sortWithinPartitions("key", "text")
-               .withColumn("part", F.spark_partition_id()))
+    places = {f"_order{i}": c for i, c in enumerate(order or (F.col(key),))}
+    ordered = (df.select(F.col(key).alias("key"), F.col(text).alias("text"),
+                         *(c.alias(name) for name, c in places.items()))
+               .repartitionByRange(*places)
+               .sortWithinPartitions(*places, "text")
+               .select("key", "text", F.spark_partition_id().alias("part")))
 
     def task(batches):
         writer, part = None, 0
-        encoder = Encoder(tokenizer, end_id)
+        coder = encoder(tokenizer)
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                if not piece.num_rows:
-                    continue
+            for piece in pieces(batch, "text", 2 << 20):
                 writer = writer or IdWriter(target)
                 part = piece.column("part")[0].as_py()
-                writer.add(*encoder.encode(piece.column("text")), piece.column("key"))
+                writer.add(*coder.encode(piece.column("text"), end_id), piece.column("key"))
         if writer is not None:
             uri, rows, ids = writer.close()
             yield pa.RecordBatch.from_pylist(
