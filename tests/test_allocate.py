@@ -174,7 +174,8 @@ def test_golden_cooldown(table):
     assert kept_minutes(al.cooldown(runs(table, [0, 5, 14, 15, 16, 29, 31, 40]))) == [0, 15, 31]
 
 
-def test_long_dense_history_with_a_hot_site(table):
+@pytest.mark.parametrize("block_rows", [7, 64, 2048])
+def test_long_dense_history_with_a_hot_site(table, block_rows):
     rng = np.random.default_rng(8)
     dense = sorted({float(m) for m in np.cumsum(rng.exponential(1.0, 3000)).round(3)})
     other = [0.0, 20.0, 21.0]
@@ -184,12 +185,25 @@ def test_long_dense_history_with_a_hot_site(table):
         if last is None or m - last >= 15:
             expected.append(m)
             last = m
-    result = al.cooldown(both)
+    result = al.cooldown(both, block_rows=block_rows)
     assert kept_minutes(result, "hot") == pytest.approx(expected)
     assert kept_minutes(result, "cold") == [0, 20]
     assert result.count() == len(dense) + 3
 
 
+def test_cooldown_of_no_runs_and_of_runs_without_a_site(table):
+    assert al.cooldown(runs(table, [])).count() == 0
+    loose = runs(table, [0, 5, 15], None).unionByName(runs(table, [1, 2], "s"))
+    kept = {(r["site"], r["run_time"].minute): r["kept"] for r in al.cooldown(loose).collect()}
+    assert kept == {(None, 0): True, (None, 5): False, (None, 15): True,
+                    ("s", 1): True, ("s", 2): False}
+
+
+def test_cooldown_runs_no_python():
+    import inspect
+    assert "InPandas" not in inspect.getsource(al) and "mapIn" not in inspect.getsource(al)
+
+
 def test_held_runs_report_the_current_state(table):
     start = datetime(2024, 1, 1)
     schema = ("site string, run_time timestamp_ntz, department string, wait_time double, "

@@ -7,18 +7,14 @@ order; they differ in the key and in what counts as feasible.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from waitwright.functions.calendar import epoch_micros
 from waitwright.functions.rounding import fixed_text, round_exact
 from waitwright.functions.rules import alert_level
 from waitwright.lineage import cut
-from waitwright.operators.ordering import arrange, fill_forward, over_blocks
+from waitwright.operators.ordering import arrange, fill_backward
 from waitwright.settings import DEPARTMENTS, Department, Thresholds
 
 BY = ("snapshot",)
@@ -242,43 +238,92 @@ def shaped(results: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
 
 
 # --- cooldown ---------------------------------------------------------------------------------
-def _keep_spaced(batches: Iterator[pd.DataFrame], gap_us: int) -> Iterator[pd.DataFrame]:
-    """Mark runs at least ``gap_us`` after the last kept one; input is sorted by segment, time."""
-    segment, last = None, 0
-    for batch in batches:
-        kept = []
-        for this, moment in zip(batch["_segment"], batch["_us"]):
-            starts = this != segment or moment - last >= gap_us
-            if starts:
-                segment, last = this, moment
-            kept.append(starts)
-        yield batch.assign(kept=kept)
+COOLDOWN_BLOCK = 2048
+
+
+def _successors(distinct: DataFrame, gap_us: int, site: str) -> DataFrame:
+    """Runs numbered by site and time, each with the number of the first run a gap later."""
+    numbered = arrange(distinct, (site, "_us")).df.select(
+        F.col(site).alias("_site"), "_us", F.col("ord").alias("_n"))
+    runs = numbered.select(
+        "_site", F.col("_us").alias("_at"), F.lit(1).alias("_is_run"), "_n",
+        F.struct(F.col("_site").alias("site"), F.col("_n").alias("n")).alias("_next"))
+    due = numbered.select(
+        "_site", (F.col("_us") + F.lit(gap_us)).alias("_at"), F.lit(0).alias("_is_run"), "_n",
+        F.lit(None).cast(runs.schema["_next"].dataType).alias("_next"))
+    timeline = arrange(runs.unionByName(due), ("_site", "_at", "_is_run", "_n"))
+    found = fill_backward(timeline, ["_next"]).df.where("_is_run = 0").select(
+        "_n", F.when(F.col("_next.site").eqNullSafe(F.col("_site")), F.col("_next.n"))
+        .alias("_next"))
+    return cut(numbered.join(found, "_n"))
+
+
+def _exits(block: Column) -> Column:
+    """For each run of a block (n, next), the first run of its chain beyond the block."""
+    last = F.element_at(block, -1)["n"]
+    walked = F.aggregate(
+        F.reverse(block), F.array().cast("array<bigint>"),
+        lambda acc, run: F.concat(F.array(F.when(
+            run["next"] <= last, F.get(acc, (run["next"] - run["n"] - 1).cast("int")))
+            .otherwise(run["next"])), acc))
+    return F.zip_with(block, walked, lambda run, out: F.struct(
+        run["n"].alias("entry"), out.alias("exit")))
+
+
+def _marks(block: Column, entries: Column) -> Column:
+    """(n, kept) of each run of a block that chains enter at ``entries``."""
+    start = F.struct(F.lit(-1).cast("bigint").alias("due"),
+                     F.array().cast("array<boolean>").alias("kept"))
+
+    def step(state: Column, run: Column) -> Column:
+        hit = (run["n"] == state["due"]) | F.array_contains(entries, run["n"])
+        return F.struct(
+            F.when(hit, F.coalesce(run["next"], F.lit(-1))).otherwise(state["due"]).alias("due"),
+            F.concat(state["kept"], F.array(hit)).alias("kept"))
+
+    return F.zip_with(block, F.aggregate(block, start, step)["kept"],
+                      lambda run, kept: F.struct(run["n"].alias("n"), kept.alias("kept")))
 
 
 def cooldown(runs: DataFrame, minutes: int = Thresholds().cooldown_minutes, *,
-             ts: str = "run_time", site: str = "site") -> DataFrame:
+             ts: str = "run_time", site: str = "site", block_rows: int = COOLDOWN_BLOCK
+             ) -> DataFrame:
     """Distinct runs per site with ``kept``: false while an earlier kept run cools down.
 
-    A run that follows the one before it by the whole cooldown is kept whatever happened
-    earlier, so such runs cut a site's history into segments that tasks can walk separately.
-    A segment streams through its task in order; only the last kept time is remembered.
+    A site's first run is kept, then always the first run a whole cooldown after the last kept
+    one. Runs are numbered and lie in blocks of a fixed number of rows, whatever their site. Each
+    block tells where a chain that enters at a run leaves it; these exits are few, as chains merge.
+    Which of them the first runs reach is found by doubling the jumps; then every block marks the
+    chain from its entry. No task ever holds more than a block.
     """
-    gap_us = minutes * 60_000_000
     distinct = runs.select(site, ts).distinct()
-    distinct = distinct.withColumn("_us", epoch_micros(distinct, ts))
-    placed = over_blocks(arrange(distinct, (site, "_us")), 1, lambda window: {
-        "_prev_site": F.lag(site, 1).over(window), "_prev_us": F.lag("_us", 1).over(window)})
-    same = F.coalesce(F.col("_prev_site") == F.col(site), F.lit(False))
-    opens = ~same | (F.col("_us") - F.col("_prev_us") >= gap_us)
-    # Written once: the fill below reads it for block edges and for rows.
-    marked = placed.replace(cut(placed.df.withColumn("_segment", F.when(opens, F.col("ord")))))
-    walked = (
-        fill_forward(marked, ["_segment"]).df.select(site, ts, "_us", "_segment")
-        .repartition("_segment").sortWithinPartitions("_segment", "_us")
-    )
-    schema = T.StructType([*walked.schema.fields, T.StructField("kept", T.BooleanType())])
-    kept = walked.mapInPandas(lambda batches: _keep_spaced(batches, gap_us), schema)
-    return kept.select(site, ts, "kept")
+    distinct = cut(distinct.withColumn("_us", epoch_micros(distinct, ts)))
+    linked = _successors(distinct, minutes * 60_000_000, site)
+    number = F.floor(F.col("_n") / block_rows)
+    blocks = cut(linked.groupBy(number.alias("_block")).agg(F.sort_array(F.collect_list(
+        F.struct(F.col("_n").alias("n"), F.col("_next").alias("next")))).alias("_rows")))
+    firsts = linked.groupBy("_site").agg(F.min("_n").alias("entry")).select("entry")
+    exits = cut(blocks.select(F.inline(_exits(F.col("_rows")))))
+    reached = cut(firsts)
+    entries = exits.select(F.col("exit").alias("entry")).where("exit is not null").distinct()
+    jumps = cut(exits.join(entries.unionByName(reached).distinct(), "entry")
+                .where("exit is not null"))
+    while True:
+        more = cut(reached.join(jumps, "entry").select(F.col("exit").alias("entry")).distinct()
+                   .join(reached, "entry", "left_anti"))
+        if more.isEmpty():
+            break
+        reached = cut(reached.unionByName(more))
+        onward = jumps.select(F.col("entry").alias("exit"), F.col("exit").alias("_far"))
+        jumps = cut(jumps.join(onward, "exit").select("entry", F.col("_far").alias("exit")))
+    entered = reached.groupBy(F.floor(F.col("entry") / block_rows).alias("_block")).agg(
+        F.collect_list("entry").alias("_entries"))
+    marked = blocks.join(entered, "_block", "left").select(F.inline(_marks(
+        F.col("_rows"), F.coalesce("_entries", F.array().cast("array<bigint>"))))).select(
+        F.col("n").alias("_n"), "kept")
+    back = linked.join(marked, "_n").select("_site", F.col("_us").alias("_at"), "kept")
+    same = F.col(site).eqNullSafe(F.col("_site")) & (F.col("_us") == F.col("_at"))
+    return distinct.join(back, same).select(site, ts, "kept")
 
 
 def allocate_with_cooldown(states: DataFrame, runs: DataFrame, method: str = "greedy", *,

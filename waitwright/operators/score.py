@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from waitwright.functions import arithmetic as af
 from waitwright.functions import rules
 from waitwright.functions.rounding import round_scaled
-from waitwright.operators.encode import apply_encoder
+from waitwright.operators.encode import apply_encoder, text_columns
 from waitwright.operators.lags import latest_per
 from waitwright.operators.scale import Scaler, apply_scaler
 
@@ -46,26 +46,42 @@ def predict_departments(feed: DataFrame, model: PipelineModel | None = None,
         "confidence_lower", "confidence_upper", "std_error")
 
 
+FORMS = {"command": af.with_command_features, "service": af.with_request_features}
+
+
 def score_requests(requests: DataFrame, model: PipelineModel, features: list[str],
-                   scaler: Scaler | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+                   scaler: Scaler | None = None, keep: tuple[str, ...] = (), *,
+                   form: str = "command", encoder: DataFrame | None = None) -> DataFrame:
     """Predicted wait and interval for every valid request, any number of rows.
 
-    Invalid requests keep their row with null results and the list of violations.
+    ``form`` says which derived inputs the model was trained on: ``command`` or ``service``. Text
+    features are coded with the fitted encoder, unknown values as its first class. Invalid requests
+    keep their row with null results and the list of violations.
     """
     checked = af.with_request_check(requests)
-    derived = af.with_command_features(checked)
-    kept = [*keep, "department", "violations"]
-    ready = af.aligned(derived, features, tuple(k for k in kept if k not in features))
+    derived = FORMS[form](checked)
+    kept = {c: f"_kept_{c}" for c in (*keep, "department", "violations")}
+    derived = derived.withColumns({new: F.col(c) for c, new in kept.items()})
+    texts = [c for c in text_columns(derived) if c in features]
+    if texts:
+        if encoder is None:
+            raise ValueError(f"text features need the fitted encoder: {texts}")
+        derived = apply_encoder(derived, encoder, texts, unseen=0, suffix="")
+    ready = af.aligned(derived, features, tuple(kept.values()))
     ready = ready.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
                                for c in features})
     if scaler is not None:
         ready = apply_scaler(ready, scaler)
-    scored = model.transform(ready)
-    valid = F.size("violations") == 0
+    return scored_requests(model.transform(ready), keep)
+
+
+def scored_requests(scored: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Clamped prediction and interval of rows with ``prediction`` and ``_kept_`` columns."""
+    valid = F.size("_kept_violations") == 0
     clamped = rules.non_negative(F.col("prediction"))
     band = rules.relative_interval(clamped, digits=2)
     return scored.select(
-        *keep, "department", "violations",
+        *(F.col(f"_kept_{c}").alias(c) for c in (*keep, "department", "violations")),
         F.when(valid, round_scaled(clamped, 2)).alias("predicted_wait_time"),
         F.when(valid, band["lower"]).alias("confidence_lower"),
         F.when(valid, band["upper"]).alias("confidence_upper"))

@@ -27,10 +27,15 @@ def hash_band(key: Column, seed: int = 42) -> Column:
     return F.floor(hash_share(key, seed) * F.lit(100) / F.lit(SPAN)).cast("int")
 
 
+def split_key(df: DataFrame, key: str) -> Column:
+    """The id column, or where the table has none a fingerprint of the whole row."""
+    return F.col(key) if key in df.columns else F.xxhash64(*sorted(df.columns))
+
+
 def split_by_hash(df: DataFrame, key: str, bands: tuple[tuple[str, int], ...] = BANDS,
                   seed: int = 42) -> DataFrame:
     """Add ``split`` by cumulative percentage."""
-    band = hash_band(F.col(key), seed)
+    band = hash_band(split_key(df, key), seed)
     chain = F.when(band < bands[0][1], bands[0][0])
     for name, upto in bands[1:]:
         chain = chain.when(band < upto, name)
@@ -40,8 +45,9 @@ def split_by_hash(df: DataFrame, key: str, bands: tuple[tuple[str, int], ...] =
 def split_in_two_steps(df: DataFrame, key: str, test_size: float = 0.15, val_size: float = 0.15,
                        seed: int = 42) -> DataFrame:
     """Test rows first, then validation rows from the rest by a second, independent hash."""
-    first = hash_share(F.col(key), seed)
-    second = hash_share(F.pmod(F.col(key), F.lit(SPAN)) * 31 + 17, seed + 1)
+    known = split_key(df, key)
+    first = hash_share(known, seed)
+    second = hash_share(F.pmod(known, F.lit(SPAN)) * 31 + 17, seed + 1)
     test = first < F.lit(int(test_size * SPAN))
     validation = second < F.lit(int(val_size / (1 - test_size) * SPAN))
     return df.withColumn("split", F.when(test, "test").when(validation, "validation")

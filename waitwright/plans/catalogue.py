@@ -16,7 +16,7 @@ from waitwright.operators import allocate as al
 from waitwright.operators import clean, encode, model, report, scale, score, split
 from waitwright.operators.lags import latest_per, with_history, with_history_stats
 from waitwright.operators.ordering import arrange
-from waitwright.plans.preprocess import department_values, prepare_splits, preprocess
+from waitwright.plans.preprocess import apply_prepared, fit_one_hot, prepare_splits, preprocess
 from waitwright.plans.training import train
 from waitwright.settings import TARGET
 from waitwright.sources import adapters as ad
@@ -188,7 +188,7 @@ def feat_util_onehot(spark, folder):
 @query
 def feat_dept_onehot(spark, folder):
     df = ad.plain_visits(spark, folder).select(ID, "department")
-    return af.with_one_hot(df, "department", department_values(df), "dept")
+    return fit_one_hot(df).apply(df)
 
 
 @query
@@ -280,8 +280,7 @@ def step_stats(spark, folder):
 
 @query
 def command_features(spark, folder):
-    requests = ad.scoring_requests(spark, folder).where("queue_length_at_arrival >= 0")
-    df = af.with_command_features(requests)
+    df = af.with_command_features(ad.scoring_requests(spark, folder))
     irrational = ["hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos",
                   "log_queue"]
     names = ["is_peak_hours", "is_evening", "is_weekend", "workload_index", "queue_pressure",
@@ -485,11 +484,11 @@ def alloc_alerts(spark, folder):
 
 @query
 def alloc_summary(spark, folder):
-    summary = report.allocation_summary(al.allocate(_states(spark, folder), "hybrid"))
+    summary = report.allocation_summary(al.allocate(_states(spark, folder), "hybrid"),
+                                        decimals=6)
     lists = ["departments_needing_increase", "departments_can_decrease", "alerts_critical",
              "alerts_warning", "alerts_normal"]
-    return summary.drop("average_wait_time").withColumns(
-        {c: F.array_join(c, ",") for c in lists})
+    return summary.withColumns({c: F.array_join(c, ",") for c in lists})
 
 
 @query
@@ -579,8 +578,7 @@ def serving_features(spark, folder):
 def request_features(spark, folder):
     df = af.with_request_features(ad.scoring_requests(spark, folder))
     names = ["hour_sin", "hour_cos", "workload_index", "log_queue"]
-    valid = df.where("queue_length_at_arrival >= 0")
-    return _rounded(valid.select("request_id", *names), *names)
+    return _rounded(df.select("request_id", *names), *names)
 
 
 @query
@@ -684,11 +682,9 @@ def training_summary(spark, folder):
 
 @query
 def prepared_splits(spark, folder):
-    rows = prepare_splits(ad.timed_visits(spark, folder)).rows
-    names = ["hour_sin", "log_queue", "prev_wait_1", "rolling_wait_5", "rolling_wait_std_5",
-             "dept_OPD", "util_high", "high_arrival_rate", "low_capacity", "department",
-             "queue_pressure", "is_peak_hours"]
-    return _rounded(rows.select(ID, "split", "wait_time_minutes", *names), *names, digits=5)
+    prepared = prepare_splits(ad.timed_visits(spark, folder), decimals=2)
+    return _rounded(prepared.rows.select(ID, "split", "wait_time_minutes", *prepared.features),
+                    *prepared.features, digits=5)
 
 
 # --- streams ----------------------------------------------------------------------------------
@@ -717,7 +713,8 @@ def stream_latest(spark, folder):
 
 @query
 def stream_congestion(spark, folder):
-    drained = _drain(spark, readings.hourly_congestion(_feed_stream(spark, folder), decimals=2))
+    drained = _drain(spark, readings.hourly_congestion(_feed_stream(spark, folder), decimals=2),
+                     "complete")
     return drained.withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
 
 

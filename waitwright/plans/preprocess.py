@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from waitwright.functions.arithmetic import (
-    present, with_interactions, with_one_hot, with_optional_interactions, with_transforms,
+    aligned, present, with_interactions, with_one_hot, with_optional_interactions, with_transforms,
     with_utilization_bands,
 )
 from waitwright.functions.calendar import with_calendar, with_calendar_flags, with_cyclical
@@ -18,7 +19,9 @@ from waitwright.operators.clean import (
     Bounds, FillValues, StepStats, drop_missing_target, filter_deviation, fit_quantile_range,
     impute, nan_to_null, quality_report, remove_duplicates, within,
 )
-from waitwright.operators.encode import encode_categories, encode_in_place, fit_encoder
+from waitwright.operators.encode import (
+    apply_encoder, encode_categories, encode_in_place, fit_encoder, text_columns,
+)
 from waitwright.operators.lags import with_history, with_history_stats
 from waitwright.operators.ordering import Arranged, arrange
 from waitwright.operators.scale import (
@@ -30,7 +33,9 @@ from waitwright.settings import (
 )
 from waitwright.sources.tables import require_schema
 
-DEPARTMENT_LIMIT = 1000
+#: More departments than this become a vector: a plan cannot hold a column for each.
+COLUMN_LIMIT = 1000
+DEPARTMENT_VECTOR = "dept_vector"
 
 
 @dataclass
@@ -109,31 +114,57 @@ class PreparedSplits:
     encoder: DataFrame
     flags: FlagLimits
     scaler: Scaler
+    one_hot: OneHot | None = None
+    interactions: bool = True
+
+
+@dataclass
+class OneHot:
+    """Departments as boolean columns, or beyond ``COLUMN_LIMIT`` as one sparse vector."""
 
+    values: list[str]
+    codes: DataFrame | None = None
+    vector: OneHotEncoderModel | None = None
 
-def department_values(df: DataFrame) -> list[str]:
-    """Departments seen in the data; they become columns, so their number is checked."""
-    rows = (df.select("department").where("department is not null").distinct()
-            .orderBy("department").limit(DEPARTMENT_LIMIT + 1).collect())
-    if len(rows) > DEPARTMENT_LIMIT:
-        raise ValueError(f"more than {DEPARTMENT_LIMIT} departments cannot become columns")
-    return [row["department"] for row in rows]
+    @property
+    def vectors(self) -> list[str]:
+        return [DEPARTMENT_VECTOR] if self.vector else []
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        if self.vector is None:
+            return with_one_hot(df, "department", self.values, "dept")
+        unknown = self.vector.categorySizes[0]
+        coded = apply_encoder(df, self.codes, ["department"], unseen=unknown, suffix="_code")
+        return self.vector.transform(coded).drop("department_code")
+
+
+def fit_one_hot(df: DataFrame) -> OneHot:
+    """Any number of departments; a null or unknown one is in none of them."""
+    known = cut(df.select("department").where("department is not null").distinct())
+    if known.count() <= COLUMN_LIMIT:
+        return OneHot([row["department"] for row in known.orderBy("department").collect()])
+    codes = fit_encoder(known, ["department"])
+    encoder = OneHotEncoder(inputCol="department_code", outputCol=DEPARTMENT_VECTOR,
+                            handleInvalid="keep")
+    return OneHot([], codes, encoder.fit(codes.select(F.col("code").alias("department_code"))))
 
 
 def prepare_splits(df: DataFrame, target: str = "wait_time_minutes", *, key: str = VISIT_ID,
                    lags: tuple[int, ...] = LAGS, windows: tuple[int, ...] = WINDOWS,
                    interactions: bool = True, z_limit: float | None = Z_LIMIT,
-                   test_size: float = 0.15, val_size: float = 0.15) -> PreparedSplits:
+                   test_size: float = 0.15, val_size: float = 0.15,
+                   decimals: int | None = None) -> PreparedSplits:
     """Features, codes, outlier filter, split and scaling of the second layout."""
     df = drop_missing_target(nan_to_null(df), target)
-    places = department_values(df) if "department" in df.columns else []
+    one_hot = fit_one_hot(df) if interactions and "department" in df.columns else None
     df = with_calendar_flags(df)
     if "timestamp" in df.columns:
         ordered = arrange(df, time_order(df, "timestamp"))
-        df = with_history_stats(ordered, target, lags=lags, windows=windows).df.drop("ord")
+        df = with_history_stats(ordered, target, lags=lags, windows=windows,
+                                decimals=decimals).df.drop("ord")
     df = with_optional_interactions(df, interactions)
-    if interactions and places:
-        df = with_one_hot(df, "department", places, "dept")
+    if one_hot is not None:
+        df = one_hot.apply(df)
     if "queue_length_at_arrival" in df.columns:
         df = df.withColumn("log_queue", F.log1p(F.col("queue_length_at_arrival").cast("double")))
     flags = fit_flags(df)
@@ -146,7 +177,35 @@ def prepare_splits(df: DataFrame, target: str = "wait_time_minutes", *, key: str
     df = cut(split_in_two_steps(df, key, test_size, val_size))
     skip = {target, "timestamp", key, "split"}
     features = [c for c in df.columns if c not in skip]
-    numeric = df.withColumns({c: F.col(c).cast("double") for c in features})
-    scaler = fit_scaler(numeric.where("split = 'train'"), features)
+    scalars = [c for c in features if one_hot is None or c not in one_hot.vectors]
+    numeric = df.withColumns({c: F.col(c).cast("double") for c in scalars})
+    scaler = fit_scaler(numeric.where("split = 'train'"), scalars)
     return PreparedSplits(apply_scaler(numeric, scaler).drop("timestamp"), features, encoder,
-                          flags, scaler)
+                          flags, scaler, one_hot, interactions)
+
+
+def apply_prepared(rows: DataFrame, fitted: PreparedSplits, keep: tuple[str, ...] = ()
+                   ) -> DataFrame:
+    """``keep`` and the fitted features of new rows, encoded, flagged and scaled as in training.
+
+    Rows have a ``timestamp`` or the parts ``hour``, ``day_of_week``, ``month``. A feature that
+    they cannot give is 0 before scaling, as is a null; unknown texts take the first class.
+    """
+    df = with_calendar_flags(rows)
+    if "timestamp" not in df.columns and "day_of_week" in df.columns:
+        df = df.withColumn("is_weekend", (F.col("day_of_week") >= 5).cast("int"))
+    df = with_optional_interactions(df, fitted.interactions)
+    if fitted.one_hot is not None and "department" in df.columns:
+        df = fitted.one_hot.apply(df)
+    if "queue_length_at_arrival" in df.columns:
+        df = df.withColumn("log_queue", F.log1p(F.col("queue_length_at_arrival").cast("double")))
+    df = apply_flags(df, fitted.flags)
+    if "system_utilization" in df.columns:
+        df = with_utilization_bands(df)
+    texts = [c for c in text_columns(df) if c in fitted.features]
+    kept = {c: F.col(c).alias(f"_kept_{c}") for c in keep}
+    df = apply_encoder(df.select("*", *kept.values()), fitted.encoder, texts, unseen=0, suffix="")
+    df = aligned(df, fitted.features, tuple(f"_kept_{c}" for c in keep))
+    scalars = [c for c in fitted.features if c in fitted.scaler.moments]
+    df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in scalars})
+    return apply_scaler(df, fitted.scaler)

@@ -6,8 +6,6 @@ ranks single counters, the cooldown recurses, lags use global windows.
 
 from __future__ import annotations
 
-from waitwright.functions import rules
-
 VISITS = """visits as (
 select event_id as patient_id, ts as arrival_time,
   case event_type when 'signup' then 'Diagnostics' when 'purchase' then 'Pharmacy'
@@ -463,23 +461,23 @@ STATEMENTS["dept_status"] = f"""with {FEED} select patient_id, department,
   case when wait_time < 15 then 'Normal' when wait_time < 30 then 'Busy' else 'Critical' end
     as status,
   case when wait_time < 15 then 'Low' when wait_time < 30 then 'Medium' else 'High' end as urgency,
-  case when wait_time > 25 then '{rules.ACTION_ADD}' else '{rules.ACTION_NONE}' end as action_hint
+  case when wait_time > 25 then 'Action recommended: Consider adding counters or optimizing workflow' else 'Operating normally' end as action_hint
 from feed"""
 STATEMENTS["threshold_alerts"] = f"""with {FEED}
 select department, {ALERT} from latest where wait_time > 20 union all
-select null, 'success', '{rules.ALL_NORMAL}'
+select null, 'success', 'All systems normal'
 where not exists (select 1 from latest where wait_time > 20)"""
 STATEMENTS["reading_alerts"] = (
     f"with {FEED} select patient_id, {ALERT} from feed where wait_time > 20")
 STATEMENTS["wait_advice"] = f"""with {VISITS} select patient_id, concat_ws(' | ',
-  case when waiting_time > 45 then '{rules.ADVICE_CRITICAL}'
-       when waiting_time > 30 then '{rules.ADVICE_WARNING}' else '{rules.ADVICE_FINE}' end,
-  case when system_utilization > 0.90 then '{rules.ADVICE_OVERLOAD}'
-       when system_utilization > 0.85 then '{rules.ADVICE_BUSY}' end,
-  case when queue_length_at_arrival > 15 then '{rules.ADVICE_QUEUE}' end) as advice,
-  concat_ws(' | ', case when waiting_time > 30 then '{rules.HINT_HIGH_WAIT}' end,
-  case when system_utilization > 0.85 then '{rules.HINT_UTILIZATION}' end,
-  case when waiting_time <= 15 then '{rules.HINT_FINE}' end) as hints from visits"""
+  case when waiting_time > 45 then '⚠️  CRITICAL: Wait time exceeds 45 minutes. Immediate counter increase required.'
+       when waiting_time > 30 then '⚠️  WARNING: Wait time above acceptable threshold. Consider adding counters.' else '✓  Wait time within acceptable range.' end,
+  case when system_utilization > 0.90 then '⚠️  System utilization critical. Staff are overloaded.'
+       when system_utilization > 0.85 then '⚠️  High utilization. Monitor closely.' end,
+  case when queue_length_at_arrival > 15 then '⚠️  Long queue detected. Consider capacity expansion.' end) as advice,
+  concat_ws(' | ', case when waiting_time > 30 then 'High wait time detected. Consider adding more counters.' end,
+  case when system_utilization > 0.85 then 'System utilization is critical. Immediate action recommended.' end,
+  case when waiting_time <= 15 then 'Wait time is within acceptable range. System running smoothly.' end) as hints from visits"""
 STATEMENTS["alert_level"] = f"""with {VISITS} select patient_id,
   {LEVEL.format(wait='waiting_time', queue='queue_length_at_arrival')} as alert_level
 from visits"""
@@ -544,6 +542,8 @@ select *, {LEVEL.format(wait='wait_time', queue='queue_length')} as level from c
 select snapshot, cast(sum(current_counters) as bigint) as total_staff_current,
   cast(sum(recommended) as bigint) as total_staff_recommended,
   cast(sum(recommended) - sum(current_counters) as bigint) as staff_change,
+  round_even(sum(cast(round(wait_time * 1000000) as bigint))::double
+    / (1000000.0::double * count(*)) * 100, 0) / 100 as average_wait_time,
   {_names('recommended > current_counters')} as departments_needing_increase,
   {_names('recommended < current_counters')} as departments_can_decrease,
   {_names("level = 'critical'")} as alerts_critical,
@@ -649,10 +649,10 @@ select patient_id, cast(hour("timestamp") as integer) as hour,
 STATEMENTS["request_features"] = f"""with {REQUESTS} select request_id,
   {_wave('sin', 'hour', 24, 'hour_sin')}, {_wave('cos', 'hour', 24, 'hour_cos')},
   round(queue * used / nullif(counters, 0)::double, 6) as workload_index,
-  round(ln(1 + queue::double), 6) as log_queue from requests where queue >= 0"""
+  case when queue > -1 then round(ln(1 + queue::double), 6) end as log_queue from requests"""
 STATEMENTS["command_features"] = f"""with {REQUESTS}, more as (
 select r.*, cast(isodow(arrival_time) - 1 as integer) as dow, month(arrival_time) as month
-from requests r join visits on patient_id = request_id where queue >= 0)
+from requests r join visits on patient_id = request_id)
 select request_id, cast(hour between 9 and 12 as integer) as is_peak_hours,
   cast(hour between 16 and 19 as integer) as is_evening, cast(dow >= 5 as integer) as is_weekend,
   queue * used / cast(counters + 1 as double) as workload_index, queue * used as queue_pressure,
@@ -661,7 +661,7 @@ select request_id, cast(hour between 9 and 12 as integer) as is_peak_hours,
   {_wave('sin', 'hour', 24, 'hour_sin')}, {_wave('cos', 'hour', 24, 'hour_cos')},
   {_wave('sin', 'dow', 7, 'dow_sin')}, {_wave('cos', 'dow', 7, 'dow_cos')},
   {_wave('sin', 'month', 12, 'month_sin')}, {_wave('cos', 'month', 12, 'month_cos')},
-  round(ln(1 + queue::double), 6) as log_queue from more"""
+  case when queue > -1 then round(ln(1 + queue::double), 6) end as log_queue from more"""
 STATEMENTS["department_predictions"] = f"""with {FEED}, guess as (
 select department, cast(queue_length as double) / cast(active_counters as double) * 3.5::double
   as p from latest)
@@ -699,35 +699,58 @@ select count(*) as rows, round(sqrt(avg((y - p) * (y - p))), 6) as rmse,
   count(*) filter (where y = 0) as zero_labels
 from scored, (select avg(y) as m from scored)"""
 
-_FRAME5 = _rows("4 preceding", "current row")
-_SCALED = ("hour_sin", "log_queue", "prev_wait_1", "rolling_wait_5", "rolling_wait_std_5",
-           "dept_OPD", "util_high", "high_arrival_rate", "low_capacity", "department",
-           "queue_pressure", "is_peak_hours")
+_PREPARED = {
+    "department": "case department when 'Diagnostics' then 0 when 'Emergency' then 1 "
+                  "when 'OPD' then 2 else 3 end",
+    "queue_length_at_arrival": "queue", "total_counters_available": "counters",
+    "arrival_rate": "rate", "system_utilization": "used", "doctor_efficiency": "grade",
+    "hour": "hour(arrival_time)", "day_of_week": "isodow(arrival_time) - 1",
+    "month": "month(arrival_time)", "day_of_month": "day(arrival_time)",
+    "is_weekend": "cast(isodow(arrival_time) > 5 as integer)",
+    **{f"{short}_{wave}": f"{wave}(2 * pi() * ({part}) / {span}::double)"
+       for short, part, span in (("hour", "hour(arrival_time)", 24),
+                                 ("dow", "isodow(arrival_time) - 1", 7),
+                                 ("month", "month(arrival_time)", 12))
+       for wave in ("sin", "cos")},
+    "is_peak_hours": "cast(hour(arrival_time) between 9 and 12 as integer)",
+    "is_evening": "cast(hour(arrival_time) between 16 and 19 as integer)",
+    **{name: f"coalesce({name}, (select quantile_cont({name}, 0.5) from rates))::double"
+       for name in ("prev_wait_1", "prev_queue_1", "prev_wait_2", "prev_queue_2",
+                    "rolling_wait_5", "rolling_wait_std_5", "rolling_queue_5",
+                    "rolling_wait_10", "rolling_wait_std_10", "rolling_queue_10")},
+    "queue_pressure": "queue * used",
+    "counters_per_patient": "counters::double / (queue + 1)::double",
+    "workload_index": "queue * used / (counters + 1)::double",
+    "hour_queue_interaction": "hour(arrival_time) * queue", "efficiency_gap": "grade - used",
+    **{f"dept_{name}": f"cast(department = '{name}' as integer)"
+       for name in ("Diagnostics", "Emergency", "OPD", "Pharmacy")},
+    "log_queue": "ln(1 + queue::double)",
+    "high_arrival_rate": "cast(rate > (select quantile_cont(rate, 0.75) from rates) as integer)",
+    "low_capacity": "cast(counters <= (select quantile_cont(counters, 0.25) from rates) "
+                    "as integer)",
+    "util_low": "cast(used > 0 and used <= 0.5 as integer)",
+    "util_medium": "cast(used > 0.5 and used <= 0.75 as integer)",
+    "util_high": "cast(used > 0.75 and used <= 0.9 as integer)",
+    "util_critical": "cast(used > 0.9 and used <= 1 as integer)",
+}
 _MOMENTS = ", ".join(f'avg("{c}"::double) as "{c}_m", stddev_pop("{c}"::double) as "{c}_s"'
-                     for c in _SCALED)
+                     for c in _PREPARED)
 _STANDARD = ", ".join(
     f'round(("{c}"::double - "{c}_m") / case when "{c}_s" = 0 then 1 else "{c}_s" end, 5) '
-    f'+ 0.0::double as "{c}"' for c in _SCALED)
+    f'+ 0.0::double as "{c}"' for c in _PREPARED)
+_WIDE = ", ".join(f'{sql} as "{c}"' for c, sql in _PREPARED.items())
+_ROLLING = ", ".join(
+    [f"lag(waiting_time, {k}) over ({ORDER}) as prev_wait_{k}, "
+     f"lag(queue_length_at_arrival, {k}) over ({ORDER}) as prev_queue_{k}" for k in (1, 2)]
+    + [f"{_mean('waiting_time', 100, frame)} as rolling_wait_{k}, "
+       f"stddev_samp(waiting_time) over {frame} as rolling_wait_std_{k}, "
+       f"{_mean('queue_length_at_arrival', 1, frame)} as rolling_queue_{k}"
+       for k, frame in ((k, _rows(f"{k - 1} preceding", "current row")) for k in (5, 10))])
 STATEMENTS["prepared_splits"] = f"""with {VISITS}, rates as (
-select *, cast(arrivals_this_hour as double) / 24.0::double as arrival_rate,
-  lag(waiting_time, 1) over ({ORDER}) as lag_1,
-  {_mean('waiting_time', 100, _FRAME5)} as rolling_wait_5,
-  stddev_samp(waiting_time) over {_FRAME5} as std_5 from visits),
-wide as (
-select patient_id, waiting_time, sin(2 * pi() * hour(arrival_time) / 24::double) as hour_sin,
-  ln(1 + queue_length_at_arrival::double) as log_queue,
-  coalesce(lag_1, (select median(lag_1) from rates)) as prev_wait_1, rolling_wait_5,
-  coalesce(std_5, (select median(std_5) from rates)) as rolling_wait_std_5,
-  cast(department = 'OPD' as integer) as "dept_OPD",
-  cast(system_utilization > 0.75 and system_utilization <= 0.9 as integer) as util_high,
-  cast(arrival_rate > (select quantile_cont(arrival_rate, 0.75) from rates) as integer)
-    as high_arrival_rate,
-  cast(total_counters_available <= (select quantile_cont(total_counters_available, 0.25)
-    from rates) as integer) as low_capacity,
-  case department when 'Diagnostics' then 0 when 'Emergency' then 1 when 'OPD' then 2 else 3 end
-    as department,
-  queue_length_at_arrival * system_utilization as queue_pressure,
-  cast(hour(arrival_time) between 9 and 12 as integer) as is_peak_hours from rates),
+select patient_id, waiting_time, arrival_time, department, queue_length_at_arrival as queue,
+  total_counters_available as counters, system_utilization as used, doctor_efficiency as grade,
+  cast(arrivals_this_hour as double) / 24.0::double as rate, {_ROLLING} from visits),
+wide as (select patient_id, waiting_time, {_WIDE} from rates),
 kept as (
 select *, {_HASH.format(key='patient_id', bits=2147483648, seed=42)} as first,
   {_HASH.format(key='patient_id * 31 + 17', bits=2147483648, seed=43)} as second from wide
@@ -748,8 +771,7 @@ STATEMENTS["stream_congestion"] = f"""with {FEED} select department,
   date_trunc('hour', "timestamp") as hour_start,
   cast(sum(cast(round(wait_time * 100) as bigint)) as double) / (100.0::double * count(*))
     as avg_wait, count(*) as readings
-from feed group by 1, 2 having date_trunc('hour', "timestamp") + interval 1 hour
-  <= (select max("timestamp") from feed) - interval 2 hour"""
+from feed group by 1, 2"""
 STATEMENTS["stream_alerts"] = f"""with {FEED} select "timestamp", department, wait_time,
   case when wait_time < 15 then 'Normal' when wait_time < 30 then 'Busy' else 'Critical' end
     as status, {ALERT} from feed where wait_time > 20"""

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waitwright.lineage import broadcast_if_small
+from waitwright.lineage import cut, is_small
+
+SALTS = 32
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,11 +43,21 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
     """Visits with the number of arrivals of the same kind in the same hour.
 
     Counting is a small aggregate joined back, not a window: rows are never shuffled by hour,
-    however many of them one hour holds.
+    however many of them one hour holds. Events without a kind or a time count together. Counts
+    too many to broadcast are joined by shuffle: each is repeated under ``SALTS`` numbers and the
+    rows of a busy hour spread over them.
     """
     rows = visits_without_arrivals(spark, folder)
-    counts = rows.groupBy("_kind", "_hour").agg(F.count("*").alias("arrivals_this_hour"))
-    return rows.join(broadcast_if_small(counts), ["_kind", "_hour"]).drop("_kind", "_hour")
+    counts = cut(rows.groupBy(F.col("_kind").alias("_k"), F.col("_hour").alias("_h"))
+                 .agg(F.count("*").alias("arrivals_this_hour")))
+    same = F.col("_kind").eqNullSafe(F.col("_k")) & F.col("_hour").eqNullSafe(F.col("_h"))
+    if is_small(counts):
+        joined = rows.join(F.broadcast(counts), same)
+    else:
+        repeated = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = rows.withColumn("_part", F.pmod(F.hash("patient_id"), F.lit(SALTS)))
+        joined = spread.join(repeated, same & (F.col("_part") == F.col("_salt")))
+    return joined.drop("_kind", "_hour", "_k", "_h", "_part", "_salt")
 
 
 def plain_visits(spark: SparkSession, folder: str) -> DataFrame:

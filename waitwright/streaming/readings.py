@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from waitwright.functions.rules import reading_alerts, status
 from waitwright.lineage import cut
-from waitwright.operators.allocate import COOLING, allocate_with_cooldown, cooldown
+from waitwright.operators.allocate import allocate_with_cooldown, cooldown
 from waitwright.operators.report import mean_of
 from waitwright.settings import Thresholds
 
@@ -30,7 +30,11 @@ def latest_readings(feed: DataFrame) -> DataFrame:
 
 def hourly_congestion(feed: DataFrame, lateness: str = "2 hours",
                       decimals: int | None = None) -> DataFrame:
-    """Mean wait per department and hour; readings later than the watermark are dropped."""
+    """Mean wait per department and hour.
+
+    In append mode an hour appears once, after the watermark has passed it, and readings later
+    than that are dropped. A bounded input is drained whole in complete mode.
+    """
     return (
         feed.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
         .withWatermark("timestamp", lateness)
@@ -66,21 +70,23 @@ def allocate_batches(states: DataFrame, history: str, checkpoint: str, method: s
                      limits: Thresholds = Thresholds()) -> StreamingQuery:
     """Allocate each micro-batch of ``(site, run_time, department, ...)`` states.
 
-    Results go to one history folder per batch, so a repeated batch replaces its own rows.
-    The last kept run of each site is read back from earlier batches; that is all the
-    cooldown needs to go on.
+    Results go to one history folder per batch, so a repeated batch replaces its own rows. The last
+    kept run of each site is all the cooldown needs to go on: one small row per site, handed from
+    batch to batch beside the history, which is never read back.
     """
     keys = ("site", "run_time")
+    memory = f"{history.rstrip('/')}-last-kept"
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = cut(batch)
         runs = batch.select(*keys).distinct()
         if number > 0:
-            done = spark.read.parquet(history).where(
-                (F.col("batch") < number) & (F.col("reasoning") != COOLING))
-            runs = runs.unionByName(done.groupBy("site").agg(F.max("run_time").alias("run_time")))
-        kept = cooldown(runs, limits.cooldown_minutes)
+            before = spark.read.schema(runs.schema).parquet(f"{memory}/batch={number - 1}")
+            runs = runs.unionByName(before)
+        kept = cut(cooldown(runs, limits.cooldown_minutes))
+        last = kept.where("kept").groupBy("site").agg(F.max("run_time").alias("run_time"))
+        last.write.mode("overwrite").parquet(f"{memory}/batch={number}")
         results = allocate_with_cooldown(batch, kept, method, by=keys, limits=limits)
         results.write.mode("overwrite").parquet(f"{history}/batch={number}")
 
