@@ -14,8 +14,8 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, "tests", "8g")
+def spark(tmp_path_factory):
+    return local_session(8, "tests", "8g", str(tmp_path_factory.mktemp("scratch")))
 
 
 @pytest.fixture(scope="session")

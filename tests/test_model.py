@@ -100,3 +100,28 @@ def test_importance_and_learning_curve(spark, visits):
     assert len(errors) == 4 and errors == sorted(errors, reverse=True)
     best = model.best_iteration(curve).first()
     assert best["iterations"] == 4 and best["best_test_rmse"] <= best["final_test_rmse"]
+
+
+def test_boosting_keeps_the_trees_up_to_the_best_validation_round(spark):
+    """A linear target still gains at the last round, so every round stays."""
+    names = [f"x{i}" for i in range(3)]
+    rows = spark.range(1500).select(
+        *[(F.pmod(F.hash("id", F.lit(i)), F.lit(1000)) / 100.0).alias(n)
+          for i, n in enumerate(names)], "id")
+    rows = rows.withColumn("y", sum(F.col(n) * (k + 1) for k, n in enumerate(names))).coalesce(2)
+    train, validation = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+    booster = model.boosted_leafwise("y", 12)
+    kept = model.fit_boosted(booster, names, train, validation)
+    assert kept.stages[-1].getNumTrees == 12
+    whole = model.fit_one(booster, names, train)
+    short = model.first_rounds(whole.stages[-1], 5)
+    curve = model.learning_curve(whole, train, validation).collect()
+    cut = model.PipelineModel([*whole.stages[:-1], short]).transform(validation)
+    rmse = model.regression_metrics(cut, "y").first()["rmse"]
+    assert rmse == pytest.approx(curve[4]["test_rmse"])
+
+
+def test_patience():
+    assert model.best_round([5, 4, 3, 3.5, 3.4, 2], patience=2) == 2
+    assert model.best_round([5, 4, 3, 3.5, 3.4, 2], patience=4) == 5
+    assert model.best_round([1.0]) == 0

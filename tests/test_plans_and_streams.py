@@ -166,3 +166,43 @@ def test_visits_share_one_arrival_count(spark, data):
             pdf["arrival_time"].dt.floor("h")]
     expected = pd.Series(1, index=pdf.index).groupby(keys).transform("count")
     assert pdf["arrivals_this_hour"].tolist() == expected.tolist()
+
+
+def test_many_departments_become_a_vector(spark):
+    from pyspark.sql import functions as F
+
+    from waitwright.plans.preprocess import apply_prepared, prepare_splits
+
+    rows = spark.range(6000).select(
+        F.col("id").alias("patient_id"),
+        F.concat(F.lit("d"), F.col("id") % 5000).alias("department"),
+        (F.col("id") % 7).cast("double").alias("wait_time_minutes"))
+    fitted = prepare_splits(rows)
+    assert "dept_vector" in fitted.features
+    seen = fitted.rows.select("dept_vector").first()[0]
+    assert seen.size == 5000 and seen.numNonzeros() == 1
+    fresh = spark.createDataFrame([("d17",), ("new",), (None,)], "department string")
+    vectors = [r["dept_vector"] for r in apply_prepared(fresh, fitted).collect()]
+    assert sorted(v.numNonzeros() for v in vectors) == [0, 0, 1]
+
+
+def test_tables_without_an_id_can_be_split(spark, data):
+    from waitwright.plans.preprocess import prepare_splits
+    from waitwright.sources import adapters as ad
+
+    rows = ad.timed_visits(spark, data).drop("patient_id")
+    parts = {r["split"]: r["count"] for r in
+             prepare_splits(rows).rows.groupBy("split").count().collect()}
+    assert set(parts) == {"train", "validation", "test"} and parts["train"] > parts["test"]
+
+
+def test_events_without_a_kind_stay(spark, tmp_path):
+    from datetime import datetime
+
+    from waitwright.sources import adapters as ad
+
+    schema = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
+    row = spark.read.parquet("/root/testdata/sf0.001/events.parquet").first().asDict()
+    rows = [row, {**row, "event_id": -1, "event_type": None, "ts": datetime(2024, 1, 1)}]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events.parquet")
+    assert ad.visits(spark, str(tmp_path)).count() == 2

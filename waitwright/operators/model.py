@@ -4,23 +4,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waitwright.lineage import cut
-from waitwright.operators.split import hash_share
+from waitwright.operators.split import hash_share, split_key
 from waitwright.settings import TARGET
 
 SEED = 42
+PATIENCE = 50
 
 
 # --- estimators -------------------------------------------------------------------------------
 def boosted_leafwise(label: str = TARGET, rounds: int = 500, **options) -> GBTRegressor:
-    """Role of the leaf-wise booster: rate .05, up to 64 leaves, validation-based stop."""
+    """Role of the leaf-wise booster: rate .05, up to 64 leaves."""
     return GBTRegressor(labelCol=label, maxIter=rounds, stepSize=0.05, maxDepth=6, maxBins=64,
                         seed=SEED, **options)
 
@@ -66,36 +70,67 @@ def regression_metrics(df: DataFrame, label: str = TARGET, prediction: str = "pr
     )
 
 
+# --- early stopping ---------------------------------------------------------------------------
+def best_round(errors: list[float], patience: int = PATIENCE) -> int:
+    """Round (from 0) with the least error before ``patience`` rounds passed without a new least."""
+    best = 0
+    for number, error in enumerate(errors):
+        if error < errors[best]:
+            best = number
+        elif number - best >= patience:
+            break
+    return best
+
+
+def first_rounds(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
+    """The same booster with its first ``count`` trees only."""
+    context = SparkContext.getOrCreate()
+    regression = context._jvm.org.apache.spark.ml.regression
+    trees = context._gateway.new_array(regression.DecisionTreeRegressionModel, count)
+    weights = context._gateway.new_array(context._jvm.double, count)
+    given, shares = model._java_obj.trees(), model.treeWeights
+    for number in range(count):
+        trees[number], weights[number] = given[number], float(shares[number])
+    cut_short = GBTRegressionModel(regression.GBTRegressionModel(model.uid, trees, weights))
+    return (cut_short.setFeaturesCol(model.getFeaturesCol())
+            .setPredictionCol(model.getPredictionCol()))
+
+
+def fit_boosted(estimator: GBTRegressor, features: list[str], train: DataFrame,
+                validation: DataFrame, patience: int = PATIENCE) -> PipelineModel:
+    """Boost on ``train`` for all rounds, then keep those up to the best one on ``validation``."""
+    model = fit_one(estimator, features, train)
+    *before, booster = model.stages
+    ready = PipelineModel(before).transform(validation)
+    errors = list(booster.evaluateEachIteration(ready, "squared"))
+    return PipelineModel([*before, first_rounds(booster, best_round(errors, patience) + 1)])
+
+
 # --- compare ----------------------------------------------------------------------------------
 @dataclass
 class Comparison:
-    """Fitted candidates and their test metrics, best first."""
+    """Fitted candidates and their test metrics, best first; rounds kept by boosters."""
 
     models: dict[str, PipelineModel]
     metrics: DataFrame
     best: str
-
-
-def _with_validation(estimator: Estimator) -> bool:
-    return isinstance(estimator, GBTRegressor)
+    rounds: dict[str, int]
 
 
 def train_and_compare(split: DataFrame, features: list[str], candidates: dict[str, Estimator],
-                      label: str = TARGET) -> Comparison:
-    """Fit on ``train``, stop early on ``validation`` where possible, rank on ``test`` RMSE.
+                      label: str = TARGET, patience: int = PATIENCE) -> Comparison:
+    """Fit on ``train``, stop boosters at their best ``validation`` round, rank on ``test`` RMSE.
 
     The first listed candidate wins ties. Only metrics reach the driver.
     """
     spark = split.sparkSession
     data = split.where(F.col(label).isNotNull())
-    fitting = data.where("split in ('train', 'validation')").withColumn(
-        "_held", F.col("split") == "validation")
-    train, test = fitting.where(~F.col("_held")), data.where("split = 'test'")
+    train, validation, test = (data.where(F.col("split") == part)
+                               for part in ("train", "validation", "test"))
     models, rows = {}, []
     for position, (name, estimator) in enumerate(candidates.items()):
-        if _with_validation(estimator):
-            stopping = estimator.copy({estimator.validationIndicatorCol: "_held"})
-            model = fit_one(stopping, features, fitting)
+        if isinstance(estimator, GBTRegressor) and not validation.isEmpty():
+            model = fit_boosted(estimator, features, train, validation, patience)
         else:
             model = fit_one(estimator, features, train)
         models[name] = model
@@ -103,7 +138,9 @@ def train_and_compare(split: DataFrame, features: list[str], candidates: dict[st
         rows.append((position, name, scores["rmse"], scores["mae"], scores["r2"], scores["mape"]))
     best = min(rows, key=lambda row: (row[2], row[0]))[1]
     metrics = _rows(spark, ("position", "model", "rmse", "mae", "r2", "mape"), rows)
-    return Comparison(models, metrics.orderBy("rmse", "position"), best)
+    rounds = {name: model.stages[-1].getNumTrees for name, model in models.items()
+              if isinstance(model.stages[-1], GBTRegressionModel)}
+    return Comparison(models, metrics.orderBy("rmse", "position"), best, rounds)
 
 
 def _rows(spark: SparkSession, names: tuple[str, ...], rows: list[tuple]) -> DataFrame:
@@ -168,7 +205,7 @@ def fit_stack(train: DataFrame, features: list[str], bases: dict[str, Estimator]
     """Out-of-fold predictions of every base train the linear learner."""
     target = "_label"
     value = F.log1p(label) if log_target else F.col(label).cast("double")
-    fold = F.pmod(F.shiftright(hash_share(F.col(key), SEED), 7), F.lit(folds))
+    fold = F.pmod(F.shiftright(hash_share(split_key(train, key), SEED), 7), F.lit(folds))
     data = train.withColumns({target: value, "_fold": fold.cast("int")})
     named = {name: est.copy({est.labelCol: target}) for name, est in bases.items()}
     held_out = None

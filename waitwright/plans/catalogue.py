@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -607,79 +608,221 @@ def regression_metrics(spark, folder):
     return _rounded(model.regression_metrics(df), "rmse", "mae", "r2", "mape")
 
 
-_MODEL_INPUTS = ["queue_length_at_arrival", "total_counters_available", "system_utilization",
-                 "doctor_efficiency", "arrivals_this_hour", "service_duration_expected"]
+_ORDER_INPUTS = ["lines", "quantity", "largest", "discount"]
+_ORDER_VALUE = "price"
 
 
-def _split_visits(spark, folder):
-    df = ad.visits(spark, folder).select(ID, TARGET, *_MODEL_INPUTS)
-    return cut(split.split_by_hash(df, ID))
+def _split_orders(spark, folder):
+    """Value and shape of every order: a target that its inputs explain in part."""
+    cents = lambda c: (F.sum(F.round(F.col(c) * 100).cast("bigint")) / 100).cast("double")
+    orders = _line(spark, folder).groupBy(F.col("l_orderkey").alias("order")).agg(
+        F.count("*").alias("lines"), cents("l_quantity").alias("quantity"),
+        F.max("l_quantity").cast("double").alias("largest"),
+        (cents("l_discount") / F.count("*")).alias("discount"),
+        cents("l_extendedprice").alias(_ORDER_VALUE))
+    return cut(split.split_by_hash(orders, "order"))
 
 
-@query
-def model_compare(spark, folder):
-    candidates = {"leafwise": model.boosted_leafwise(rounds=8),
-                  "symmetric": model.boosted_symmetric(rounds=5, depth=5)}
-    return model.train_and_compare(_split_visits(spark, folder), _MODEL_INPUTS,
-                                   candidates).metrics
+def _one_row(spark, **facts):
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in facts.items()))
+
+
+def _mean_rmse(data):
+    return model.baseline_metrics(data, _ORDER_VALUE).first()["rmse"]
 
 
-def _bases():
-    return {"leafwise": model.boosted_leafwise(rounds=3),
-            "trees": model.randomised_trees(trees=5, depth=5)}
+@query
+def model_compare(spark, folder):
+    """Facts of a comparison on whole orders; rounds are fewer than the default 500 for time."""
+    data = _split_orders(spark, folder)
+    run = model.train_and_compare(
+        data, _ORDER_INPUTS, {"leafwise": model.boosted_leafwise(_ORDER_VALUE, 40),
+                              "symmetric": model.boosted_symmetric(_ORDER_VALUE, 20)},
+        _ORDER_VALUE)
+    rows = {r["model"]: r for r in run.metrics.collect()}
+    test = data.where("split = 'test'")
+    scored = run.models[run.best].transform(test).where("prediction is not null")
+    return _one_row(
+        spark, candidates=len(rows), scored_rows=scored.count(),
+        best_has_least_rmse=rows[run.best]["rmse"] == min(r["rmse"] for r in rows.values()),
+        all_beat_mean=all(r["rmse"] < _mean_rmse(data) for r in rows.values()),
+        rounds_within_limits=1 <= run.rounds["leafwise"] <= 40 and 1 <= run.rounds["symmetric"] <= 20)
+
+
+def _bases(rounds: int = 6):
+    return {"leafwise": model.boosted_leafwise(_ORDER_VALUE, rounds),
+            "symmetric": model.boosted_symmetric(_ORDER_VALUE, rounds, depth=6),
+            "trees": model.randomised_trees(_ORDER_VALUE, trees=20, depth=8),
+            "shallow": model.randomised_trees(_ORDER_VALUE, trees=20, depth=4)}
 
 
 @query
 def model_stack(spark, folder):
-    data = _split_visits(spark, folder)
-    stack = model.fit_stack(data.where("split = 'train'"), _MODEL_INPUTS, _bases(), folds=3)
-    scored = stack.transform(data.where("split = 'test'"))
-    return model.regression_metrics(scored)
+    """Five folds, four bases, ridge over log predictions; tested on all test orders."""
+    data = _split_orders(spark, folder)
+    stack = model.fit_stack(data.where("split = 'train'"), _ORDER_INPUTS, _bases(),
+                            label=_ORDER_VALUE, key="order")
+    scored = cut(stack.transform(data.where("split = 'test'")))
+    row = model.regression_metrics(scored, _ORDER_VALUE).first()
+    return _one_row(spark, scored_rows=row["rows"], bases=len(stack.bases),
+                    weights=len(stack.meta.stages[-1].coefficients),
+                    beats_mean=row["rmse"] < _mean_rmse(data),
+                    never_negative=scored.where("prediction < 0").isEmpty())
 
 
 @query
 def feature_importance(spark, folder):
-    data = _split_visits(spark, folder).where("split = 'train'")
-    fitted = {name: model.fit_one(estimator, _MODEL_INPUTS, data)
-              for name, estimator in _bases().items()}
-    return model.feature_importance(fitted, _MODEL_INPUTS, spark)
+    train_rows = _split_orders(spark, folder).where("split = 'train'")
+    fitted = {name: model.fit_one(estimator, _ORDER_INPUTS, train_rows)
+              for name, estimator in _bases(4).items()}
+    table = cut(model.feature_importance(fitted, _ORDER_INPUTS, spark))
+    path = scratch_path(spark, "importance")
+    tables.write_importance(table, path)
+    return tables.read_importance(spark, path).agg(
+        F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+        F.max_by("feature", "importance").isin("lines", "quantity").alias("size_is_first"))
 
 
 @query
 def learning_curve(spark, folder):
-    data = _split_visits(spark, folder)
-    train, test = data.where("split = 'train'"), data.where("split = 'test'")
-    fitted = model.fit_one(model.boosted_leafwise(rounds=5), _MODEL_INPUTS, train)
-    return model.learning_curve(fitted, train, test)
+    """Learn and test errors of a booster, written as training logs and read back."""
+    data = _split_orders(spark, folder)
+    fitted = model.fit_one(model.boosted_leafwise(_ORDER_VALUE, 15), _ORDER_INPUTS,
+                           data.where("split = 'train'"))
+    curve = cut(model.learning_curve(fitted, data.where("split = 'train'"),
+                                     data.where("split = 'test'")))
+    paths = {name: scratch_path(spark, name) for name in ("learn", "test")}
+    for name, path in paths.items():
+        (curve.select("iter", F.col(f"{name}_rmse").alias("RMSE")).write
+         .option("header", True).option("sep", "\t").csv(path))
+    logs = cut(tables.read_learning_curve(spark, paths["learn"], paths["test"]))
+    errors = [r["test_rmse"] for r in logs.orderBy("iter").collect()]
+    drop = F.min_by("learn_rmse", "iter") > F.max_by("learn_rmse", "iter")
+    best = model.best_iteration(logs).first()
+    return logs.agg(F.count("*").alias("rounds"), drop.alias("learn_error_falls")).withColumn(
+        "best_agrees", F.lit(best["best_iteration"] == model.best_round(errors, len(errors))))
 
 
 @query
 def score_batch(spark, folder):
+    """Every request scored by a model trained on all visits: what came back for it."""
     requests = ad.scoring_requests(spark, folder)
     names = ["queue_length_at_arrival", "total_counters_available", "system_utilization",
              "doctor_efficiency", "hour_sin", "hour_cos", "workload_index", "log_queue"]
     visits = ad.plain_visits(spark, folder).withColumns(
         {"hour": F.hour("arrival_time"), "day_of_week": F.weekday("arrival_time"),
          "month": F.month("arrival_time")})
-    train = cut(af.aligned(af.with_command_features(visits), names, (TARGET,)))
-    scaler = scale.fit_scaler(train, names)
-    fitted = model.fit_one(model.randomised_trees(trees=5, depth=5), names,
-                           scale.apply_scaler(train, scaler))
-    return score.score_requests(requests, fitted, names, scaler, ("request_id",)).withColumn(
-        "violations", F.array_join("violations", ","))
+    train_rows = cut(af.aligned(af.with_request_features(visits), names, (TARGET,)))
+    scaler = scale.fit_scaler(train_rows, names)
+    fitted = model.fit_one(model.randomised_trees(trees=20, depth=6), names,
+                           scale.apply_scaler(train_rows, scaler))
+    scored = score.score_requests(requests, fitted, names, scaler, ("request_id",),
+                                  form="service")
+    return _scored_facts(scored)
+
+
+def _scored_facts(scored):
+    """Per request: its violations, and whether a sound prediction with its interval came back."""
+    wait = F.col("predicted_wait_time")
+    sound = (wait >= 0) & (F.col("confidence_lower") <= wait) & (wait <= F.col("confidence_upper"))
+    return scored.select("request_id", F.array_join("violations", ",").alias("violations"),
+                         F.coalesce(sound, F.lit(False)).alias("predicted"))
+
+
+@query
+def score_prepared(spark, folder):
+    """Requests scored by a linear model of the second layout, from its fitted state alone."""
+    fitted = prepare_splits(ad.timed_visits(spark, folder))
+    names = fitted.features
+    trained = model.fit_one(LinearRegression(labelCol="wait_time_minutes"), names,
+                            fitted.rows.where("split = 'train'"))
+    checked = af.with_request_check(ad.scoring_requests(spark, folder))
+    inputs = apply_prepared(checked, fitted, ("request_id", "department", "violations"))
+    return _scored_facts(score.scored_requests(trained.transform(inputs), ("request_id",)))
+
+
+@query
+def prepared_requests(spark, folder):
+    """Inputs of new requests under the state fitted by the second layout."""
+    fitted = prepare_splits(ad.timed_visits(spark, folder))
+    checked = af.with_request_check(ad.scoring_requests(spark, folder))
+    names = ["department", "dept_OPD", "util_high", "low_capacity", "is_weekend", "log_queue",
+             "workload_index", "hour_sin", "is_peak_hours"]
+    inputs = apply_prepared(checked, fitted, ("request_id",))
+    return _rounded(inputs.select(F.col("_kept_request_id").alias("request_id"), *names), *names,
+                    digits=5)
+
+
+@query
+def run_reload(spark, folder):
+    """A saved run scores new rows as the run itself does, for every department."""
+    feed = ad.department_feed(spark, folder)
+    rows = cut(score.department_features(feed).withColumn(
+        TARGET, F.col("wait_time").cast("double")))
+    names = ["queue_length_at_arrival", "arrivals_this_hour", "total_counters_available"]
+    encoder = encode.fit_encoder(feed.select("department"), ["department"])
+    fitted = model.fit_one(model.randomised_trees(trees=5, depth=4), names, rows)
+    path = scratch_path(spark, "run")
+    tables.save_run(spark, path, fitted, names, encoder, scale.fit_scaler(rows, names),
+                    scale.FlagLimits({}))
+    loaded = tables.load_run(spark, path)
+    ours = score.predict_departments(feed, fitted, names, encoder, ID)
+    again = score.predict_departments(feed, loaded.model, loaded.features, loaded.encoder, ID)
+    same = ours.join(again.withColumnRenamed("prediction", "_again"), "department")
+    return same.select("department", (F.col("prediction") == F.col("_again")).alias("same"),
+                       (F.col("prediction") >= 0).alias("predicted"))
 
 
 @query
 def training_summary(spark, folder):
     path = scratch_path(spark, "summary")
     run = train(ad.visits_dirty(spark, folder), _predictions(spark, folder), AS_OF,
-                {"trees": model.randomised_trees(trees=3, depth=4)})
+                {"trees": model.randomised_trees(trees=20, depth=6)})
     tables.write_summary(spark, run.summary, path)
     return tables.read_metrics(spark, path).select(
-        "status", "data.samples", "data.features", "model.name", "model.rmse",
+        "status", "data.samples", "data.features", "model.name",
+        (F.col("model.rmse") > 0).alias("has_error"),
         "allocation.recommendations_generated", "allocation.alerts_generated")
 
 
+@query
+def csv_strict(spark, folder):
+    """Visits of the second layout, written as CSV and read strictly."""
+    path = scratch_path(spark, "csv")
+    stamp = F.date_format("arrival_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp")
+    ad.plain_visits(spark, folder).select(ID, stamp, "department").write.option(
+        "header", True).csv(path)
+    return tables.read_timed_csv(spark, path).select(
+        F.col(ID).cast("bigint").alias(ID),
+        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "department")
+
+
+@query
+def required_columns(spark, folder):
+    """Which required columns the visits lack, with and without two of them."""
+    visits = ad.visits(spark, folder)
+    rows = visits.count()
+    found = [("whole", tables.check_schema(visits)),
+             ("reduced", tables.check_schema(visits.drop("department", TARGET)))]
+    facts = [F.struct(F.lit(name).alias("name"), F.lit(valid).alias("valid"),
+                      F.lit(",".join(sorted(missing))).alias("missing"), F.lit(rows).alias("rows"))
+             for name, (valid, missing) in found]
+    return spark.range(1).select(F.inline(F.array(*facts)))
+
+
+@query
+def allocation_history(spark, folder):
+    """Results appended day by day and read back with their day."""
+    path = scratch_path(spark, "history")
+    results = cut(al.allocate(_states(spark, folder)).withColumn(
+        "run_time", F.col("snapshot").cast("timestamp_ntz")))
+    for odd in (0, 1):
+        al.append_history(results.where(F.dayofmonth("snapshot") % 2 == odd), path)
+    return spark.read.parquet(path).select(
+        "snapshot", "department", "current_counters", "recommended_counters",
+        F.col("run_date").cast("date").alias("run_date"))
+
+
 @query
 def prepared_splits(spark, folder):
     prepared = prepare_splits(ad.timed_visits(spark, folder), decimals=2)

@@ -84,7 +84,8 @@ def clean(df: DataFrame) -> tuple[Arranged, FillValues, list[Bounds], StepStats]
 def engineer(arranged: Arranged, encoder: DataFrame | None = None, *,
              decimals: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All features of cleaned rows in one lazy plan; the encoder is fitted when not given."""
-    df = with_history(arranged.replace(with_calendar(arranged.df)), decimals=decimals).df
+    # Calendar parts come after the block shuffle, which then carries fewer columns.
+    df = with_calendar(with_history(arranged, decimals=decimals).df)
     df = with_transforms(with_interactions(with_cyclical(df)))
     if encoder is None:
         known = with_calendar(arranged.df)

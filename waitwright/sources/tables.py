@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waitwright.operators.clean import nan_to_null
+from waitwright.operators.scale import FlagLimits, Scaler
 from waitwright.settings import ARRIVAL, REQUIRED_COLUMNS, TIMESTAMP_COLUMNS, VISIT_ID
 
 # Types of the columns a visit file may carry; others stay text.
@@ -161,3 +164,31 @@ def load_encoder(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select("column", "value", "code")
 
 
+
+
+@dataclass
+class SavedRun:
+    """Everything that scoring needs from a training run."""
+
+    model: PipelineModel
+    features: list[str]
+    encoder: DataFrame
+    scaler: Scaler
+    flags: FlagLimits
+
+
+def save_run(spark: SparkSession, path: str, model: PipelineModel, features: list[str],
+             encoder: DataFrame, scaler: Scaler, flags: FlagLimits) -> None:
+    """Best model, feature order, encoder, scaler and flag limits, side by side in one folder."""
+    model.write().overwrite().save(f"{path}/model")
+    save_encoder(encoder, f"{path}/encoder")
+    save_state(spark, f"{path}/state", features={"names": features}, scaler=scaler.moments,
+               flags=flags.limits)
+
+
+def load_run(spark: SparkSession, path: str) -> SavedRun:
+    state = load_state(spark, f"{path}/state")
+    moments = {name: tuple(pair) for name, pair in state["scaler"].items()}
+    return SavedRun(PipelineModel.load(f"{path}/model"), state["features"]["names"],
+                    load_encoder(spark, f"{path}/encoder"), Scaler(moments),
+                    FlagLimits(state["flags"]))
