@@ -28,7 +28,7 @@ def predictions(table, waits, snapshot=1):
 
 @pytest.mark.parametrize("waits, method, counters, reductions", GOLDEN)
 def test_golden_recommendations(table, waits, method, counters, reductions):
-    result = al.recommend(predictions(table, waits), method)
+    result = al.recommend(predictions(table, waits), method, ordered=True)
     rows = {r["department"]: r for r in result.collect()}
     assert tuple(rows[d]["recommended_counters"] for d in CURRENT) == counters
     assert [rows[d]["action"] for d in CURRENT] == ["increase", "increase", "decrease"]

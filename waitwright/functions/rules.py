@@ -98,6 +98,7 @@ def recommendation_alerts(recommendations: DataFrame) -> DataFrame:
     wait, action = F.col("predicted_wait_time"), F.col("action")
     high = (action == "increase") & (wait > 25)
     low = (action == "decrease") & (wait < 10)
+    # fixed: sentences of both alerts
     text = F.when(high, F.format_string(
         "[HIGH WAIT ALERT] %s: Predicted wait %s min. Immediate counter increase recommended.",
         F.col("department"), fixed_text(wait, 1),

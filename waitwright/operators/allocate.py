@@ -71,7 +71,7 @@ def _filled(key: Column, eligible: Column, by: tuple[str, ...], staff: Column,
 def recommend(predictions: DataFrame, method: str = "linear_programming", *,
               by: tuple[str, ...] = BY, staff: int = Thresholds().total_staff,
               departments: tuple[Department, ...] = DEPARTMENTS,
-              position: str = "department") -> DataFrame:
+              position: str = "department", ordered: bool = False) -> DataFrame:
     """Recommendations from ``predicted_wait`` and ``current_counters`` per department.
 
     ``linear_programming`` fills by weight, any other method by wait times weight. When the
@@ -101,9 +101,10 @@ def recommend(predictions: DataFrame, method: str = "linear_programming", *,
         "expected_wait_reduction": F.abs(wait * share),
     })
     df = df.withColumn("justification", justification())
-    return df.select(*by, "department", "current_counters", "recommended_counters",
-                     "predicted_wait_time", "expected_wait_reduction", "priority_score", "action",
-                     "justification", "feasible").orderBy(*by, F.desc("priority_score"))
+    advice = df.select(*by, "department", "current_counters", "recommended_counters",
+                       "predicted_wait_time", "expected_wait_reduction", "priority_score",
+                       "action", "justification", "feasible")
+    return advice.orderBy(*by, F.desc("priority_score")) if ordered else advice
 
 
 def justification() -> Column:
@@ -161,6 +162,7 @@ def _score(limits: Thresholds) -> Column:
     return (wait + queue + used) * F.col("priority_weight")
 
 
+# fixed: sentences of the reasoning field, here and in ``allocate``
 def change_reasoning() -> Column:
     change = F.col("recommended_counters") - F.col("current_counters")
     return (

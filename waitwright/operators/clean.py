@@ -203,6 +203,7 @@ def quality_report(df: DataFrame, as_of: datetime, target: str = TARGET,
     moment = F.lit(as_of)
     if arrival in df.columns:
         moment = moment.cast(df.schema[arrival].dataType)
+    # fixed: field names of the report
     report = copies.agg(
         F.coalesce(F.sum(weight), F.lit(0)).alias("total_records"),
         F.coalesce(F.sum(weight * _missing(df.columns)), F.lit(0)).alias("missing_values"),

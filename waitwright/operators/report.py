@@ -97,13 +97,13 @@ def wait_distribution(feed: DataFrame, value: str = "wait_time") -> DataFrame:
         for prob, name in names.items()])
 
 
-def trend_series(feed: DataFrame) -> DataFrame:
-    """Wait and queue of every department over time, in long form."""
+def trend_series(feed: DataFrame, ordered: bool = False) -> DataFrame:
+    """Wait and queue of every department over time, in long form; sorted if asked for."""
     points = feed.select("timestamp", "department", F.col("wait_time").cast("double"),
                          F.col("queue_length").cast("double"))
     long = points.unpivot(["timestamp", "department"], ["wait_time", "queue_length"],
                           "series", "value")
-    return long.orderBy("department", "series", "timestamp")
+    return long.orderBy("department", "series", "timestamp") if ordered else long
 
 
 def target_summary(df: DataFrame, column: str) -> DataFrame:
