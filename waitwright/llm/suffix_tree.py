@@ -32,14 +32,16 @@ from pyspark.sql import functions as F
 from waitwright.lineage import broadcast_if_small, cut
 from waitwright.llm.words import SPACED, Words, pieces
 
-DEPTH = 6
+DEPTH = 5
 SHARE = 1e-5
-MOST_STATES = 100_000
+MOST_STATES = 30_000
 LEAST = 8            # occurrences that a context needs in small corpora
 GAIN = 1.0
-WEIGHT = 2.0         # bytes' worth of belief in the parent
+WEIGHT = 1.0         # bytes' worth of belief in the parent
 FREQUENT = 1 << 20
 STRETCH = 256        # symbols that are walked in step
+MERGE_ROWS = 1 << 20  # counts that wait in a task before they are merged
+HELD_ROWS = 1 << 21   # sums that a task holds before it hands them on
 SPACE, END = 32, 10
 
 
@@ -78,20 +80,65 @@ def grams(sequence: np.ndarray, firsts: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+class Tally:
+    """Sums of counts by key, kept sorted; new counts wait until there are enough to merge."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, values: np.ndarray) -> None:
+        keys, counts = np.unique(values, return_counts=True)
+        self.keys.append(keys)
+        self.counts.append(counts.astype(np.int64))
+        self.waiting += len(keys)
+        if self.waiting > MERGE_ROWS:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([np.zeros(0, np.uint64), *self.keys])
+        counts = np.concatenate([np.zeros(0, np.int64), *self.counts])
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        fresh = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][:len(keys)])
+        self.keys = [keys[fresh]]
+        self.counts = [np.add.reduceat(counts, fresh) if len(fresh) else counts]
+        self.waiting = 0
+        return self.keys[0], self.counts[0]
+
+    def give(self, kind: int):
+        """All sums so far as batches; starts anew."""
+        keys, counts = self.merge()
+        self.keys, self.counts = [], []
+        for a in range(0, len(keys), 1 << 16):
+            part = keys[a:a + (1 << 16)].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), kind, np.int8)), pa.array(part),
+                 pa.array(counts[a:a + (1 << 16)])], names=["kind", "key", "n"])
+
+
 def count_all(df: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, n): kind 0 words by number, 1 byte grams, 2 the number of rows (key 0)."""
+    """(kind, key, n): kind 0 words by number, 1 byte grams, 2 the number of rows (key 0).
+
+    Tasks sum up what they read before it is shuffled, in bounded memory.
+    """
 
     def task(batches):
+        tallies = [Tally() for _ in range(3)]
         for batch in batches:
-            for piece in pieces(batch, "text", 8 << 20):
+            for piece in pieces(batch, "text", 2 << 20):
                 words = Words(piece.column("text"), SPACED)
                 sequence, firsts = symbols(words)
-                for kind, values in ((0, words.hashes), (1, grams(sequence, firsts, depth)),
-                                     (2, np.zeros(piece.num_rows, np.uint64))):
-                    key, n = np.unique(values, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)),
-                         pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+                for tally, values in zip(tallies, (
+                        words.hashes, grams(sequence, firsts, depth),
+                        np.zeros(piece.num_rows, np.uint64))):
+                    tally.add(values)
+            for kind, tally in enumerate(tallies):
+                if sum(map(len, tally.keys)) > HELD_ROWS:
+                    yield from tally.give(kind)
+        for kind, tally in enumerate(tallies):
+            yield from tally.give(kind)
 
     return df.mapInArrow(task, "kind byte, key long, n long").groupBy("kind", "key").agg(
         F.sum("n").alias("n"))
@@ -107,7 +154,7 @@ def contexts(counted: DataFrame, depth: int = DEPTH, share: float = SHARE, least
              .select("length", part.alias("gram"), "n"))
     context = F.shiftright("gram", 8)
     full = (F.col("length") == 0) | (F.expr("shiftright(gram, 8 * length)") > 0)
-    by_gram = every.filter(full).groupBy("length", "gram").agg(F.sum("n").alias("n"))
+    by_gram = cut(every.filter(full).groupBy("length", "gram").agg(F.sum("n").alias("n")))
     totals = by_gram.groupBy("length", context.alias("context")).agg(
         F.sum("n").alias("total"), F.count("*").alias("kinds"))
     whole = totals.filter("length = 0").agg(F.sum("total")).first()[0] or 0
@@ -152,23 +199,18 @@ class Tree:
         uniform = np.full(self.width, 1 / 256)
         uniform[-1] = unseen / 256
         state: dict[tuple[int, int], int] = {(0, 0): 0}
-        rows = [uniform]
         bounds = np.flatnonzero(np.r_[True, (np.diff(length) != 0) | (np.diff(context) != 0), True]) \
             if len(n) else np.zeros(1, np.int64)
+        table = np.tile(uniform, (len(bounds), 1))
         for a, b in zip(bounds[:-1], bounds[1:]):
             d, c = int(length[a]), int(context[a])
-            prior = uniform if d == 0 else rows[state[d - 1, c & ((1 << 8 * (d - 1)) - 1)]]
+            prior = uniform if d == 0 else table[state[d - 1, c & ((1 << 8 * (d - 1)) - 1)]]
             row = prior * weight
             row[self.rank[symbol[a:b]]] += n[a:b]
-            row /= row.sum()
-            if d == 0:
-                rows[0] = row
-            else:
-                state[d, c] = len(rows)
-                rows.append(row)
+            at = state.setdefault((d, c), len(state))
+            table[at] = row / row.sum()
         self.states = state
         # A byte never seen has its share of the last rank.
-        table = np.array(rows)
         table[:, -1] /= max(unseen, 1)
         self.logs = np.log10(table).astype(np.float32)
         self.depth = max(d for d, _ in state)
@@ -259,7 +301,7 @@ def scores(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text"
     def task(batches):
         words_at, logs, tree = shipped.value
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 2 << 20):
                 words = Words(piece.column("text"), SPACED)
                 sequence, firsts = symbols(words)
                 score = np.add.reduceat(tree.score(sequence), firsts[:-1])
