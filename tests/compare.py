@@ -7,6 +7,7 @@ import time
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -33,8 +34,12 @@ def _cells(frame: pd.DataFrame) -> list[tuple]:
                 lambda v: hasattr(v, "isoformat")).any():
             columns.append([None if pd.isna(v) else str(pd.Timestamp(v)) for v in values])
         else:
-            columns.append([None if v is None or v != v else
-                            (float(v) if isinstance(v, float) else v) for v in values])
+            plain = [None if v is None or v is pd.NA or v != v else
+                     (float(v) if isinstance(v, float) else v) for v in values]
+            if None in plain:  # pandas turns whole numbers beside nulls into floats, on one side
+                plain = [float(v) if isinstance(v, (int, np.integer)) and not isinstance(v, bool)
+                         else v for v in plain]
+            columns.append(plain)
     return sorted(zip(*columns), key=repr)
 
 
