@@ -183,7 +183,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
         vectors, "label int, places array<int>, names array<string>"))
     named = {r["name"]: r["n"] for r in vectored.select(F.explode("names").alias("name")).groupBy(
         "name").agg(F.count("*").alias("n")).collect()}
-    table = vectored.select("label", "places").orderBy(F.xxhash64("places"), "label").toPandas()
+    # The sample is bounded; a fixed order of its rows makes the fit repeatable.
+    table = vectored.select("label", "places").toPandas()
+    table = table.iloc[sorted(range(len(table)), key=lambda i: (
+        table["label"].iat[i], tuple(table["places"].iat[i])))]
     sizes = np.array([len(x) for x in table["places"]], np.int64)
     rows = np.repeat(np.arange(len(table)), sizes)
     columns = np.concatenate([np.zeros(0, np.int64), *table["places"]]).astype(np.int64)
