@@ -114,3 +114,21 @@ def test_nothing_learnt_and_no_rows(spark):
         (1, 0, 0, 0.0), (3, 0, 0, 0.0)]
     assert got[1].score == pytest.approx(5 * log10(1 / 256), abs=1e-5)
     assert st.scores(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_a_context_seen_ten_times_is_learnt_in_a_large_corpus(spark):
+    rows = [("a b " * 5000,)] * 110 + [("zq1 yq2",)] * 10
+    tree = st.fit(st.count_all(spark.createDataFrame(rows, "text string"), st.DEPTH))
+    assert (2, int.from_bytes(b"zq", "big")) in tree.states
+
+
+@pytest.mark.parametrize("frequent", [0, 300, 1 << 21])
+def test_large_trees_are_joined(spark, data, monkeypatch, frequent):
+    monkeypatch.setattr(st, "SHIPPED_STATES", 0)
+    monkeypatch.setattr(st, "FREQUENT_GRAMS", frequent)
+    rows = [(r.doc_id, r.text) for r in
+            spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()]
+    rows += [(-1, None), (-2, ""), (-3, "A\x00b \x0b😀"), (-4, "never seen zzz"), (None, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
+    compare(rows, st.scores(frame, learn).collect(), lambda i: i is None or i % 3 != 0)

@@ -5,14 +5,18 @@ then a newline; a newline also stands before the first word. So no word is unkno
 probabilities of all texts sum to one.
 
 Learning counts, over all learning rows, each byte with up to ``DEPTH`` bytes before it. A context
-is a candidate if its share of all bytes is ``SHARE`` or more: at most 1/SHARE contexts a length,
-however large the corpus. A candidate stays if its next-byte
-distribution diverges from that of its parent (the context less its first byte): count times
-Kullback-Leibler divergence of ``GAIN`` nats for each byte seen after it. Parents of
-contexts that stay, stay. If more than ``MOST_STATES`` stay, the share doubles until they fit: the
-tree goes to every task and its size is bounded. Distributions are smoothed towards the parent's, the root's towards
+is a candidate if it occurs ``LEAST`` times, in a corpus of any size. A candidate stays if its
+next-byte distribution diverges from that of its parent (the context less its first byte): count
+times Kullback-Leibler divergence of ``GAIN`` nats for each byte seen after it. Parents of
+contexts that stay, stay; nothing bounds their number unless ``SHARE`` or ``MOST_STATES`` is set.
+Distributions are smoothed towards the parent's, the root's towards
 uniform. A byte's probability comes from the longest suffix of what precedes it that is a state.
 
+A tree of at most ``SHIPPED_STATES`` goes to every task. A larger one stays a table: the distinct
+byte grams of all rows meet its states by joins, one length after the other. The most frequent
+grams, at most 2^21, are then looked up in the scan; the rest of each text is joined by shuffle.
+Both ways give the same scores.
+
 The base: sum of log10((c + 0.5) / (N + 0.5 * (V + 1))) over tokens. Words are counted under 64-bit
 numbers (``words``). Frequent words, at most 2^20, are looked up in the scan; the rest of each
 text is joined with the counts by shuffle.
@@ -29,16 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waitwright.lineage import broadcast_if_small, cut
-from waitwright.llm.words import SPACED, Words, pieces
+from waitwright.lineage import cut
+from waitwright.llm.words import FACTOR, SPACED, Words, pieces
 
-DEPTH = 5
-SHARE = 1e-5
-MOST_STATES = 30_000
-LEAST = 8            # occurrences that a context needs in small corpora
+DEPTH = 6            # at most 6: a gram is one whole number
+SHARE = 0.0          # share of all bytes that a context needs as well
+MOST_STATES = None   # bound of the states, for callers that want a tree of bounded size
+LEAST = 8            # occurrences that a context needs
 GAIN = 1.0
 WEIGHT = 1.0         # bytes' worth of belief in the parent
 FREQUENT = 1 << 20
+FREQUENT_GRAMS = 1 << 21
+SLOTS = 1 << 23      # places of frequent grams in a task's table
+SHIPPED_STATES = 30_000  # plan only
 STRETCH = 256        # symbols that are walked in step
 MERGE_ROWS = 1 << 20  # counts that wait in a task before they are merged
 HELD_ROWS = 1 << 21   # sums that a task holds before it hands them on
@@ -146,22 +153,24 @@ def count_all(df: DataFrame, depth: int) -> DataFrame:
 
 def contexts(counted: DataFrame, depth: int = DEPTH, share: float = SHARE, least: int = LEAST,
              gain: float = GAIN) -> DataFrame:
-    """(length, context, symbol, n) of the states; the root has length 0 and context 0."""
-    lengths = F.sequence(F.lit(0), F.lit(depth))
-    part = F.col("key").bitwiseAND(F.element_at(
-        F.array(*(F.lit((1 << 8 * (d + 1)) - 1) for d in range(depth + 1))), F.col("length") + 1))
-    every = (counted.filter("kind = 1").select("n", "key", F.explode(lengths).alias("length"))
-             .select("length", part.alias("gram"), "n"))
+    """(length, context, symbol, n, total) of the states; the root has length 0 and context 0."""
     context = F.shiftright("gram", 8)
-    full = (F.col("length") == 0) | (F.expr("shiftright(gram, 8 * length)") > 0)
-    by_gram = cut(every.filter(full).groupBy("length", "gram").agg(F.sum("n").alias("n")))
+    level, by_gram = counted.filter("kind = 1").select(F.col("key").alias("gram"), "n"), None
+    for d in range(depth, -1, -1):
+        if d < depth:
+            level = cut(level.groupBy(F.col("gram").bitwiseAND((1 << 8 * (d + 1)) - 1)
+                                      .alias("gram")).agg(F.sum("n").alias("n")))
+        # The first bytes of a row have fewer before them.
+        full = level.filter(F.shiftright("gram", 8 * d) > 0).select(
+            F.lit(d).alias("length"), "gram", "n")
+        by_gram = full if by_gram is None else by_gram.unionByName(full)
     totals = by_gram.groupBy("length", context.alias("context")).agg(
         F.sum("n").alias("total"), F.count("*").alias("kinds"))
     whole = totals.filter("length = 0").agg(F.sum("total")).first()[0] or 0
     large = cut(totals.filter((F.col("length") == 0)
                               | (F.col("total") >= max(float(least), share * whole))))
     rows = cut(by_gram.withColumn("context", context).join(
-        broadcast_if_small(large), ["length", "context"]).select(
+        large, ["length", "context"]).select(
         "length", "context", F.col("gram").bitwiseAND(255).alias("symbol"), "n", "total", "kinds"))
     mask = F.element_at(F.array(*(F.lit((1 << 8 * d) - 1) for d in range(depth + 1))),
                         F.col("length"))
@@ -176,13 +185,90 @@ def contexts(counted: DataFrame, depth: int = DEPTH, share: float = SHARE, least
     closed = kept.select("context", suffix.alias("length")).select(
         "length", F.expr("context & (shiftleft(1L, 8 * length) - 1)").alias("context")).distinct()
     sized = cut(closed.join(large.select("length", "context", "total"), ["length", "context"]))
-    while sized.filter(F.col("total") >= share * whole).count() > MOST_STATES:
-        share *= 2
+    if MOST_STATES is not None:
+        share = max(share, least / max(whole, 1))
+        while sized.filter(F.col("total") >= share * whole).count() > MOST_STATES:
+            share *= 2
     # A suffix is as frequent as the whole at least, so what is left still has all its parents.
     states = sized.filter(F.col("total") >= share * whole).select("length", "context")
-    return rows.filter("length = 0").select("length", "context", "symbol", "n").unionByName(
-        rows.join(states, ["length", "context"], "left_semi").select(
-            "length", "context", "symbol", "n"))
+    columns = ["length", "context", "symbol", "n", "total"]
+    return rows.filter("length = 0").select(columns).unionByName(
+        rows.join(states, ["length", "context"], "left_semi").select(columns))
+
+
+def gram_scores(states: DataFrame, grams_: DataFrame, depth: int = DEPTH,
+                weight: float = WEIGHT) -> DataFrame:
+    """(key, score): log10 probability of the last byte of each gram, by its longest state.
+
+    One length after the other: a suffix of a state is a state, so what a gram had at the length
+    before is its parent's probability, and stays where the longer context is no state.
+    """
+    wanted = [grams_.select(F.col("key").alias("gram"))]
+    for d in range(depth - 1, -1, -1):
+        wanted.append(cut(wanted[-1].select(
+            F.col("gram").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("gram")).distinct()))
+    below = None
+    for d, near in enumerate(reversed(wanted)):
+        rows = states.filter(F.col("length") == d)
+        seen = rows.select(
+            F.shiftleft("context", 8).bitwiseOR(F.col("symbol")).alias("gram"), "n")
+        sizes = rows.groupBy("context").agg(F.first("total").alias("total"))
+        if below is None:
+            near = near.withColumn("p", F.lit(1 / 256))
+        else:
+            near = near.withColumn(
+                "shorter", F.col("gram").bitwiseAND((1 << 8 * d) - 1)).join(below, "shorter")
+        p = F.when(F.col("total").isNull(), F.col("p")).otherwise(
+            (F.coalesce("n", F.lit(0)) + weight * F.col("p")) / (F.col("total") + weight))
+        below = cut(near.withColumn("context", F.shiftright("gram", 8))
+                    .join(sizes, "context", "left").join(seen, "gram", "left")
+                    .select(F.col("gram").alias("shorter"), p.alias("p")))
+    return below.select(F.col("shorter").alias("key"), F.log10("p").alias("score"))
+
+
+def most_frequent(answers: DataFrame, most: int) -> DataFrame:
+    """The grams that occur more often than some number, so that at most ``most`` remain."""
+    step = F.floor(F.log2("n") * 8)
+    sizes = sorted(answers.groupBy(step.alias("step")).count().collect(), reverse=True)
+    left, least = most, None
+    for r in sizes:
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    return answers.filter(F.lit(False) if least is None else step >= least)
+
+
+class Grams:
+    """Scores of frequent grams by slots; of grams that share a slot the most frequent has it."""
+
+    def __init__(self, keys: np.ndarray, scores: np.ndarray, counts: np.ndarray):
+        order = np.argsort(counts, kind="stable")  # of equal slots the last one stays
+        self.keys, self.scores = keys[order], scores[order].astype(np.float32)
+        self.slots = None
+
+    def __getstate__(self):
+        return self.keys, self.scores, None
+
+    def __setstate__(self, state):
+        self.keys, self.scores, self.slots = state
+
+    @staticmethod
+    def _slot(values: np.ndarray) -> np.ndarray:
+        shift = np.uint64(64 - (SLOTS.bit_length() - 1))
+        return ((values * FACTOR) >> shift).astype(np.int64)
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each value, 0 where there is none, and whether there is one."""
+        if self.slots is None:
+            at = self._slot(self.keys)
+            keys, scores = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32)
+            keys[at], scores[at] = self.keys, self.scores
+            self.slots, self.keys, self.scores = (keys, scores), None, None
+        keys, scores = self.slots
+        at = self._slot(values)
+        found = keys[at] == values
+        return np.where(found, scores[at], np.float32(0)).astype(np.float64), found
 
 
 class Tree:
@@ -271,60 +357,92 @@ class Tree:
         return out.T.ravel()[:len(sequence)]
 
 
+def as_tree(states: DataFrame) -> Tree:
+    rows = states.select("length", "context", "symbol", "n").toArrow()
+    return Tree(*(c.to_numpy().astype(np.int64) for c in rows.columns))
+
+
 def fit(counted: DataFrame, **settings) -> Tree:
-    """Tree of the counts; at most 1/SHARE states a length reach the driver."""
-    rows = contexts(counted, **settings).toPandas()
-    return Tree(*(rows[c].to_numpy(np.int64) for c in ("length", "context", "symbol", "n")))
+    """Tree of the counts, on the driver: for small corpora or with ``MOST_STATES``."""
+    return as_tree(contexts(counted, **settings))
+
+
+def _rare(owner: np.ndarray, values: np.ndarray, size: int) -> tuple[pa.Array, pa.Array]:
+    """Of each row the distinct values and how often it has them."""
+    counted = pa.table({"o": owner, "v": values}).group_by(["o", "v"]).aggregate(
+        [([], "count_all")]).sort_by("o")
+    at = pa.array(np.searchsorted(counted["o"].to_numpy(), np.arange(size + 1)).astype(np.int32))
+    return (pa.ListArray.from_arrays(at, counted["v"].combine_chunks()),
+            pa.ListArray.from_arrays(at, counted["count_all"].combine_chunks().cast(pa.int32())))
 
 
 def scores(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, learnt, n_tokens, n_known, train_tokens, base_score, score."""
     spark = df.sparkSession
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text"), learn.alias("learnt"))
-    counted = cut(count_all(source.filter("learnt").select("text"), DEPTH))
+    depth = DEPTH
+    counted = cut(count_all(source.filter("learnt").select("text"), depth))
+    states = cut(contexts(counted))
+    answers = None
+    if states.select("length", "context").distinct().count() <= SHIPPED_STATES:
+        model = as_tree(states)
+    else:
+        others = count_all(source.filter(~F.coalesce("learnt", F.lit(False))).select("text"), depth)
+        every = cut(counted.unionByName(others).filter("kind = 1").groupBy("key").agg(
+            F.sum("n").alias("n")))
+        answers = cut(gram_scores(states, every, depth).join(every, "key"))
+        often = most_frequent(answers, FREQUENT_GRAMS).select("key", "score", "n").toArrow()
+        model = Grams(often["key"].to_numpy().view(np.uint64), often["score"].to_numpy(),
+                      often["n"].to_numpy())
+        del often
     counts = counted.filter("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     rows = counted.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = (total or 0) + rows, distinct + (rows > 0)
     divisor = total + 0.5 * (distinct + 1)
     least = max(1.0, total / FREQUENT)   # no more than FREQUENT words occur so often
-    head = counts.filter(F.col("c") >= least).toPandas().sort_values("word")
+    head = counts.filter(F.col("c") >= least).toArrow().sort_by("word")
     shipped = spark.sparkContext.broadcast((
-        head["word"].to_numpy(np.int64), np.log10((head["c"].to_numpy() + 0.5) / divisor),
-        fit(counted)))
+        head["word"].to_numpy(), np.log10((head["c"].to_numpy() + 0.5) / divisor),
+        model))
     end = float(np.log10((rows + 0.5) / divisor))
     schema = pa.schema([
         ("row", pa.int64()), ("key", pa.int64()), ("learnt", pa.bool_()), ("n_tokens", pa.int64()),
         ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-        ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+        ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())),
+        ("grams", pa.list_(pa.int64())), ("gram_times", pa.list_(pa.int32()))])
 
     def task(batches):
-        words_at, logs, tree = shipped.value
+        words_at, logs, model = shipped.value
         for batch in batches:
             for piece in pieces(batch, "text", 2 << 20):
                 words = Words(piece.column("text"), SPACED)
                 sequence, firsts = symbols(words)
-                score = np.add.reduceat(tree.score(sequence), firsts[:-1])
+                rare_grams = pa.nulls(piece.num_rows, schema.field("grams").type), \
+                    pa.nulls(piece.num_rows, schema.field("gram_times").type)
+                if isinstance(model, Tree):
+                    each = model.score(sequence)
+                else:
+                    values = grams(sequence, firsts, depth)
+                    each, hit = model.find(values)
+                    owner = np.repeat(np.arange(piece.num_rows), np.diff(firsts))
+                    rare_grams = _rare(owner[~hit], values[~hit].view(np.int64), piece.num_rows)
+                score = np.add.reduceat(each, firsts[:-1])
                 hashes, owner = words.hashes.view(np.int64), words.row_of
                 near = np.minimum(np.searchsorted(words_at, hashes), max(len(words_at) - 1, 0))
                 known = words_at[near] == hashes if len(words_at) else np.zeros(len(hashes), bool)
                 size = piece.num_rows
                 base = end + np.bincount(owner[known], logs[near[known]], size)
-                rare = pa.table({"o": owner[~known], "w": hashes[~known]}).group_by(
-                    ["o", "w"]).aggregate([([], "count_all")]).sort_by("o")
-                at = np.searchsorted(rare["o"].to_numpy(), np.arange(size + 1)).astype(np.int32)
+                rare_words = _rare(owner[~known], hashes[~known], size)
                 yield pa.RecordBatch.from_arrays([
                     piece.column("row"), piece.column("key"), piece.column("learnt"),
                     pa.array(words.counts.astype(np.int64) + 1),
                     pa.array(np.bincount(owner[known], minlength=size) + int(rows > 0)),
-                    pa.array(base), pa.array(score),
-                    pa.ListArray.from_arrays(pa.array(at), rare["w"].combine_chunks()),
-                    pa.ListArray.from_arrays(pa.array(at), rare["count_all"].combine_chunks()
-                                             .cast(pa.int32()))], schema=schema)
+                    pa.array(base), pa.array(score), *rare_words, *rare_grams], schema=schema)
 
     scored = cut(source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         task, "row long, key long, learnt boolean, n_tokens long, known long, base double, "
-              "score double, words array<long>, times array<int>"))
+              "score double, words array<long>, times array<int>, grams array<long>, gram_times array<int>"))
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
         "row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     found = rare.join(counts.filter(F.col("c") < least), "word", "left")
@@ -332,8 +450,19 @@ def scores(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text"
     rest = found.groupBy("row").agg(
         F.sum(F.col("times") * log).alias("rest"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"))
-    return scored.drop("words", "times").join(rest, "row", "left").select(
+    texts = scored.drop("words", "times", "grams", "gram_times").join(rest, "row", "left")
+    score = F.col("score")
+    if answers is not None:
+        rare = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("g"))
+        tail = rare.select("row", F.col("g.grams").alias("key"),
+                           F.col("g.gram_times").alias("times")).join(
+            answers.select("key", F.col("score").alias("each")), "key").groupBy("row").agg(
+            F.sum(F.col("times") * F.col("each")).alias("tail"))
+        texts = texts.join(tail, "row", "left")
+        score = score + F.coalesce("tail", F.lit(0.0))
+    return texts.select(
         F.col("key").alias(key), "learnt", "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
+        score.alias("score"))
