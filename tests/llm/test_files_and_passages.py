@@ -71,6 +71,20 @@ def test_small_payloads_stay_responses(spark):
     assert warc.write(pages.limit(0)).count() == 0
 
 
+def test_captures_of_one_url_are_spread_over_ranges(spark):
+    rows = [(i if i % 5 else None, None if i % 3 else f"http://h{i}/", f"page {i}")
+            for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = cut(warc.write(pages.repartition(7)))
+    got = index.orderBy("range", "seq").collect()
+    assert [(r.urlkey, r.ts, r.page_id is not None, r.page_id or 0) for r in got] == sorted(
+        (warc.url_key(u), f"{warc.EPOCH + warc.timedelta(seconds=i or 0):%Y%m%d%H%M%S}",
+         i is not None, i or 0) for i, u, _ in rows)
+    sizes = {r["range"]: r["count"] for r in index.groupBy("range").count().collect()}
+    assert max(sizes.values()) < 1000 and len(sizes) > 3
+    assert warc.read(index).count() == len(rows)
+
+
 @pytest.mark.parametrize("values", [
     [5], [7] * 4096, list(range(4096)), [0, 2**32 - 1], [2**32 - 1] * 3,
     [3] * 3900 + [2**31 + i for i in range(196)], [0] * 4000 + [1] * 96])

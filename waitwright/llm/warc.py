@@ -1,10 +1,11 @@
 """Web archives: WARC files, sorted capture runs, and their merge into one ordered index.
 
 Each task writes one archive (one gzip member per record) and a run: its captures sorted by URL
-key, timestamp and id. Runs are cut at shared splitters into segments; all segments of one key
-range meet in one task, where a loser tree merges them. Ranges in order, rows in order of ``seq``,
-are the capture history of the whole table. Readers take records back from the archives by the
-index alone.
+key, timestamp and id. Runs are cut into segments by ranges of the whole order, down to the place
+in the archive, so captures of one URL are split as well; there are as many ranges as the counted
+captures need. All segments of one range meet in one task, where a loser tree merges them. Ranges
+in order, rows in order of ``seq``, are the capture history of the whole table. Readers take
+records back from the archives by the index alone.
 
 A record whose payload (at least ``min_bytes`` long) also belongs to a larger id is a revisit of
 the largest; its payload is not stored again. Defined cases: a null payload is empty; a null URL
@@ -20,9 +21,11 @@ import hashlib
 import re
 import zlib
 from datetime import UTC, datetime, timedelta
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +34,12 @@ from waitwright.llm.files import Written, opened, shared_folder
 
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 LEVEL = 1
-SAMPLE_PER_RANGE = 50   # sampled URL keys per range, for the splitters
-MOST_RANGES = 4096
-RUN = pa.schema([("range", pa.int32()), ("run", pa.string()), ("captures", pa.list_(pa.struct([
+RANGE_ROWS = 1 << 17   # captures of a range, about; cut by a sample of the whole order
+BATCH_ROWS = 1 << 14
+HEAD_ROWS = 256        # captures of a segment that wait as Python objects
+RUN = pa.schema([
     ("urlkey", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()),
-    ("offset", pa.int64()), ("length", pa.int64())])))])
-MERGED = pa.schema([("range", pa.int32()), ("seq", pa.int64()),
-                    *RUN.field("captures").type.value_type])
+    ("offset", pa.int64()), ("length", pa.int64())])
 CAPTURE = "urlkey string, ts string, page_id long, uri string, offset long, length long"
 
 
@@ -149,13 +151,29 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
             .select("page_id", "print", "refers_to").distinct())
 
 
-def splitters(pages: DataFrame, ranges: int) -> list[str]:
-    """URL keys that cut a sample, bounded by the number of ranges, into even ranges."""
-    rows = pages.count()
-    wanted = ranges * SAMPLE_PER_RANGE
-    sample = pages.select("url").sample(min(1.0, 2.0 * wanted / max(rows, 1)), 7).limit(4 * wanted)
-    keys = sorted(url_key(r["url"]) for r in sample.collect())
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+def _segment(table: pa.Table, a: int, b: int):
+    """Order and place of rows ``a`` to ``b``, a few at a time."""
+    for i in range(a, b, HEAD_ROWS):
+        part = table.slice(i, min(HEAD_ROWS, b - i))
+        for k, (key, ts, page) in enumerate(zip(*(
+                part.column(c).to_pylist() for c in ("urlkey", "ts", "page_id")))):
+            yield (key, ts, page is not None, page or 0), i + k
+
+
+def _merged(table: pa.Table, number: int):
+    """Batches of one range in order, from its segments: rows that share ``uri``, each sorted."""
+    if not table.num_rows:
+        return
+    run = table.column("uri").combine_chunks().dictionary_encode().indices.to_numpy()
+    cuts = np.r_[0, np.flatnonzero(np.diff(run)) + 1, len(run)].tolist()
+    places = (place for _, place in LoserTree(
+        [_segment(table, a, b) for a, b in zip(cuts[:-1], cuts[1:])], lambda item: item[0]))
+    for a in range(0, len(run), BATCH_ROWS):
+        part = table.take(pa.array(islice(places, BATCH_ROWS), pa.int64())).combine_chunks()
+        size = part.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(size, number, np.int32)), pa.array(np.arange(a, a + size)),
+             *(c.chunk(0) for c in part.columns)], names=["range", "seq", *part.column_names])
 
 
 def write(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
@@ -164,8 +182,6 @@ def write(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> Da
     spark = pages.sparkSession
     target = folder or shared_folder(spark, "warc")
     pages = pages.select("page_id", "url", "html")
-    ranges = min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = np.array(splitters(pages, ranges), dtype=object)
     again = broadcast_if_small(cut(revisits(pages, min_bytes)))
     print_ = F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)
     decided = pages.withColumn("print", print_).join(again, ["page_id", "print"], "left")
@@ -190,27 +206,24 @@ def write(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> Da
             return
         file.close()
         captures.sort(key=_order)
-        which = np.searchsorted(bounds, np.array([c["urlkey"] for c in captures], object), "right") \
-            if len(bounds) else np.zeros(len(captures), np.int64)
-        cuts = np.r_[0, np.flatnonzero(np.diff(which)) + 1, len(captures)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a < b:
-                yield pa.RecordBatch.from_pylist([{
-                    "range": int(which[a]), "run": file.uri, "captures": captures[a:b]}],
-                    schema=RUN)
-
-    runs = cut(decided.select("page_id", "url", "html", "refers_to").mapInArrow(
-        task, f"range int, run string, captures array<struct<{CAPTURE.replace(' ', ':')}>>"
-        .replace(",:", ",")))
-
-    def merge(table: pa.Table) -> pa.Table:
-        segments = table.sort_by("run").column("captures").to_pylist()
-        merged = list(LoserTree(segments, _order))
-        number = table.column("range")[0].as_py()
-        return pa.Table.from_pylist(
-            [{"range": number, "seq": i, **c} for i, c in enumerate(merged)], schema=MERGED)
-
-    return runs.groupBy("range").applyInArrow(merge, f"range int, seq long, {CAPTURE}")
+        for a in range(0, len(captures), BATCH_ROWS):
+            yield pa.RecordBatch.from_pylist(captures[a:a + BATCH_ROWS], schema=RUN)
+
+    runs = cut(decided.select("page_id", "url", "html", "refers_to").mapInArrow(task, CAPTURE))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                 -(-runs.count() // RANGE_ROWS))
+
+    def merge(batches):
+        table = pa.Table.from_batches(batches, schema=RUN)
+        # Segments one after the other, each in the order of its run.
+        table = table.sort_by(
+            [(c, "ascending") for c in ("uri", "urlkey", "ts", "page_id", "offset")],
+            null_placement="at_start").combine_chunks()
+        yield from _merged(table, TaskContext.get().partitionId())
+
+    # Nulls first, as in _order; what is equal there goes by archive and place.
+    return runs.repartitionByRange(ranges, "urlkey", "ts", "page_id", "uri", "offset").mapInArrow(
+        merge, f"range int, seq long, {CAPTURE}")
 
 
 def read(index: DataFrame) -> DataFrame:
