@@ -179,6 +179,20 @@ def test_passages_of_odd_texts(spark, monkeypatch, shipped):
     assert sorted(map(tuple, got), key=repr) == brute_passages(docs, items)
 
 
+def test_a_long_item_is_not_copied_with_each_shingle(spark):
+    long = [f"w{i}" for i in range(20000)]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, "a b c")], "item_id long, text string")
+    listed = decontaminate.item_shingles(items, "item_id", "text", 13, 4)
+    held = sum(len(v) for r in listed.collect() for v in r if isinstance(v, list))
+    assert held < 26 * 20003
+    docs = spark.createDataFrame(
+        [(1, "x " + " ".join(long[9000:9030]) + " y"), (2, " ".join(long[-13:])),
+         (3, " ".join(long[:12])), (4, "q a b c")], "doc_id long, text string")
+    got = decontaminate.verdicts(*decontaminate.hits(docs, items)).collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in got) == [
+        (1, 30, 1), (2, 13, 1), (3, 0, 0), (4, 3, 1)]
+
+
 def test_no_benchmark_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")

@@ -31,6 +31,7 @@ WINDOW = 13
 SHINGLE = 4
 AROUND = WINDOW - 1
 SHIPPED_BYTES = 32 << 20
+ROWS = 1 << 13  # shingles of a record batch, each with its own few words
 
 
 def _long(values: np.ndarray) -> pa.Array:
@@ -38,54 +39,70 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 def item_shingles(items: DataFrame, key: str, text: str, window: int, size: int) -> DataFrame:
-    """(item, words, at, size, shingle): every shingle of every item, with its first word."""
+    """(item, copy, total, near, here, at, size, shingle): every shingle of every item.
+
+    ``copy`` numbers the items, ``total`` counts the item's words, ``at`` is the shingle's first
+    word. ``near`` are the words of all windows around the shingle, which is at ``here`` in them.
+    """
+    around = window - 1
 
     def task(batches):
         for batch in batches:
-            rows = []
             for piece in pieces(batch, "text"):
                 words = Words(piece.column("text"), ALNUM)
-                names = piece.column("item").to_pylist()
                 for k in sorted({min(int(n), size) for n in words.counts if n}):
                     values, firsts = shingles(words, k, whole_when_shorter=False)
-                    for row in np.flatnonzero(np.minimum(words.counts, size) == k):
-                        a, b = words.rows[row:row + 2]
-                        text = [words.text(w) for w in range(a, b)]
-                        rows += [{"item": names[row], "words": text, "at": j, "size": k,
-                                  "shingle": int(v)} for j, v in enumerate(
-                                      values[firsts[row]:firsts[row + 1]].view(np.int64))]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    arrow = pa.schema([("item", pa.int64()), ("words", pa.list_(pa.string())), ("at", pa.int32()),
+                    chosen = np.flatnonzero(np.minimum(words.counts, size) == k)
+                    runs = firsts[chosen + 1] - firsts[chosen]
+                    owner = np.repeat(chosen, runs)
+                    at = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+                    for a in range(0, len(owner), ROWS):
+                        row, place = owner[a:a + ROWS], at[a:a + ROWS]
+                        first = words.rows[row] + place
+                        low = np.maximum(first - around, words.rows[row])
+                        high = np.minimum(first + around + 1, words.rows[row + 1])
+                        here = pa.array(row)
+                        yield pa.RecordBatch.from_arrays([
+                            piece.column("item").take(here), piece.column("copy").take(here),
+                            pa.array(words.counts[row].astype(np.int64)),
+                            pa.array([[words.text(w) for w in range(x, y)]
+                                      for x, y in zip(low, high)], pa.list_(pa.string())),
+                            pa.array((first - low).astype(np.int32)),
+                            pa.array(place.astype(np.int64)),
+                            pa.array(np.full(len(row), k, np.int32)),
+                            _long(values[firsts[row] + place])], schema=arrow)
+
+    arrow = pa.schema([("item", pa.int64()), ("copy", pa.int64()), ("total", pa.int64()),
+                       ("near", pa.list_(pa.string())), ("here", pa.int32()), ("at", pa.int64()),
                        ("size", pa.int32()), ("shingle", pa.int64())])
-    return items.select(F.col(key).alias("item"), F.col(text).alias("text")).distinct().mapInArrow(
-        task, "item long, words array<string>, at int, size int, shingle long")
+    return items.select(F.col(key).alias("item"), F.col(text).alias("text")).distinct().withColumn(
+        "copy", F.monotonically_increasing_id()).mapInArrow(
+        task, "item long, copy long, total long, near array<string>, here int, at long, size int, "
+              "shingle long")
 
 
 def segments(listed: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(item, shingle, at, low, high, words): where the rarest shingle of some windows is.
+    """(item, shingle, size, span, at, high, item_words): the rarest shingle of some windows.
 
-    ``words`` are the item's words from ``low`` on, ``at`` the shingle's place among them, and
-    ``high`` the last start of such a window, all counted from ``low``.
+    ``item_words`` are the words of these windows, ``at`` the shingle's place among them, and
+    ``high`` the last start of such a window, both counted from the first.
     """
-    item = F.xxhash64("item", "words").alias("copy")
-    weighed = listed.join(counts, ["shingle", "size"], "left").select(
-        "item", "words", item, "at", "size", "shingle",
-        F.coalesce("n", F.lit(0)).alias("n"))
-    total = F.size("words")
-    span = F.least(F.lit(window), total)
-    starts = F.sequence(F.greatest(F.lit(0), F.col("at") + F.col("size") - span),
-                        F.least(F.col("at"), total - span))
+    weighed = listed.drop("near", "here", "item").join(counts, ["shingle", "size"], "left").select(
+        "copy", "total", "at", "size", "shingle", F.coalesce("n", F.lit(0)).alias("n"))
+    span = F.least(F.lit(window).cast("long"), F.col("total"))
+    starts = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("at") + F.col("size") - span),
+                        F.least(F.col("at"), F.col("total") - span))
     rarest = weighed.select("*", span.alias("span"), F.explode(starts).alias("start")).groupBy(
-        "item", "copy", "words", "span", "start").agg(
-        F.min(F.struct("n", "shingle", "at", "size")).alias("best"))
-    return rarest.groupBy("item", "copy", "words", "span", F.col("best.shingle").alias("shingle"),
-                          F.col("best.size").alias("size"), F.col("best.at").alias("place")).agg(
-        F.min("start").alias("low"), F.max("start").alias("last")).select(
-        "item", "shingle", "size", "span", (F.col("place") - F.col("low")).alias("at"),
-        (F.col("last") - F.col("low")).alias("high"),
-        F.slice("words", F.col("low") + 1, F.col("last") - F.col("low") + F.col("span"))
-        .alias("item_words"))
+        "copy", "span", "start").agg(F.min(F.struct("n", "shingle", "at", "size")).alias("best"))
+    places = rarest.groupBy("copy", "span", F.col("best.at").alias("at")).agg(
+        F.min("start").alias("low"), F.max("start").alias("last"))
+    first = F.col("low") - F.col("at") + F.col("here")  # of the windows' words, in ``near``
+    return places.join(listed.drop("total"), ["copy", "at"]).select(
+        "item", "shingle", "size", F.col("span").cast("int").alias("span"),
+        (F.col("at") - F.col("low")).cast("int").alias("at"),
+        (F.col("last") - F.col("low")).cast("int").alias("high"),
+        F.slice("near", (first + 1).cast("int"),
+                (F.col("last") - F.col("low") + F.col("span")).cast("int")).alias("item_words"))
 
 
 def _scan(docs: DataFrame, wanted: dict[int, np.ndarray] | None, sizes: list[int], found):
