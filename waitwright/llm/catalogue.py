@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waitwright.lineage import cut
 from waitwright.llm import (
-    decontaminate, exact, mixing, near, pii, quality, suffix_tree, tokens, toxicity, warc,
+    decontaminate, exact, mixing, near, pii, quality, runs, suffix_tree, tokens, toxicity, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,8 @@ def op9_decontamination(spark, folder):
 def op10_mixing(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"), carry=("doc_id", "source"))
     return mixed.select("row.*", "epoch", "block", "slot", "start")
+
+
+@query
+def op12_periodic_runs(spark, folder):
+    return runs.digest(runs.find(table(spark, folder, "documents"), repeat_tails=True))
