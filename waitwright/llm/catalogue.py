@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from waitwright.lineage import cut
 from waitwright.llm import (
-    decontaminate, exact, mixing, near, pii, quality, runs, suffix_tree, tokens, toxicity, warc,
+    decontaminate, exact, mixing, near, pii, quality, runs, suffix_tree, tokens, toxicity,
+    variants, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +95,11 @@ def op10_mixing(spark, folder):
     return mixed.select("row.*", "epoch", "block", "slot", "start")
 
 
+@query
+def op11_spelling_variants(spark, folder):
+    return variants.find(table(spark, folder, "documents"), slips=True)
+
+
 @query
 def op12_periodic_runs(spark, folder):
     return runs.digest(runs.find(table(spark, folder, "documents"), repeat_tails=True))
