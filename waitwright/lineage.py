@@ -51,6 +51,8 @@ def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):  # of numbers, or of structs of a few
+            width = width + 32 * F.coalesce(F.array_size(field.name), F.lit(0))
     return (df.agg(F.sum(width).alias("size")).first()["size"] or 0) <= max_bytes
 
 
