@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from waitwright.lineage import cut
 from waitwright.llm import (
-    decontaminate, exact, mixing, near, pii, quality, runs, suffix_tree, tokens, toxicity,
-    variants, warc,
+    decontaminate, exact, mixing, near, pii, quality, repeats, runs, suffix_tree, tokens,
+    toxicity, variants, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,8 @@ def op11_spelling_variants(spark, folder):
 @query
 def op12_periodic_runs(spark, folder):
     return runs.digest(runs.find(table(spark, folder, "documents"), repeat_tails=True))
+
+
+@query
+def op13_repeated_passages(spark, folder):
+    return repeats.digest(repeats.remove(table(spark, folder, "documents")))
