@@ -82,6 +82,7 @@ def test_joined_apart_and_in_blocks(spark, passages, monkeypatch):
     from waitwright import skew
     monkeypatch.setattr(skew, "HOT_ROWS", 20)
     monkeypatch.setattr(skew, "is_small", lambda df: False)
+    monkeypatch.setattr(repeats, "MOST_CELLS", 10)
     df = spark.createDataFrame(passages, "doc_id long, text string")
     assert answers(repeats.digest(repeats.remove(df, batches=3))) == plain(passages)
 

@@ -42,12 +42,15 @@ LENGTH = 200
 GRAM = 100
 BATCHES = 4
 BLOCK = 1 << 19       # window starts looked at together
+#: Cells of a gram that are compared in one task (16 MB at most); of more, window by window.
+MOST_CELLS = 20_000
 PLACE = np.uint64((1 << 20) - 1)
 _random = np.random.default_rng(1313)
 OTHER_VALUES = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 UP, DOWN = powers(FACTOR, BLOCK + LENGTH), powers(INVERSE, BLOCK + LENGTH)
 CELL = ("d1", "d2", "start", "stop", "gram", "cell")
-WINDOW = ("d1", "d2", "start", "gram", "window")
+WINDOWS = ["d1", "d2", "start", "gram", "windows"]
+SPAN = "d1 long, d2 long, start long, stop long"
 
 
 def sums(values: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -184,12 +187,14 @@ def close(spans: DataFrame) -> DataFrame:
                 [pa.array(a) for a in (d1[first], d2[first], start[first], stops)],
                 names=CELL[:4])
 
-    return spans.select(*CELL[:4]).mapInArrow(
-        task, ", ".join(f"{name} long" for name in CELL[:4]))
+    return spans.select(*CELL[:4]).mapInArrow(task, SPAN)
 
 
 def windows(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(d1, d2, start, gram, window): every window of the cells asked for (d1, d2, cells)."""
+    """(d1, d2, start, gram, windows): the numbers of all windows of the cells asked for.
+
+    asked: d1, d2, cells (start, stop, gram); ``windows`` packs eight bytes per window.
+    """
     def task(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -201,16 +206,80 @@ def windows(rows: DataFrame, asked: DataFrame) -> DataFrame:
                     for cell in wanted:
                         part = own[cell["start"]:cell["stop"]]
                         at = np.arange(len(part) - LENGTH + 1)
-                        out.append((np.full(len(at), d1), np.full(len(at), d2),
-                                    at + cell["start"], np.full(len(at), cell["gram"]),
-                                    numbers(sums(OTHER_VALUES, part), at, at + LENGTH)
-                                    .view(np.int64)))
+                        packed = numbers(sums(OTHER_VALUES, part), at, at + LENGTH).tobytes()
+                        out.append((d1, d2, cell["start"], cell["gram"], packed))
                 if out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c)) for c in zip(*out)], names=WINDOW)
+                        [pa.array(c) for c in zip(*out)], names=WINDOWS)
 
     wide = join_unique(rows.select("d1", "d2", "text"), asked, ["d1", "d2"], "inner")
-    return wide.mapInArrow(task, ", ".join(f"{name} long" for name in WINDOW))
+    return wide.mapInArrow(task, "d1 long, d2 long, start long, gram long, windows binary")
+
+
+def unpacked(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and number of each window of packed cells."""
+    packed = batch.column("windows").to_pylist()
+    counts = np.array([len(p) // 8 for p in packed], np.int64)
+    row = np.repeat(np.arange(len(packed)), counts)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return row, batch.column("start").to_numpy()[row] + nth, np.frombuffer(b"".join(packed), np.int64)
+
+
+def shared(packed: DataFrame) -> DataFrame:
+    """Spans (d1, d2, start, stop) of windows that another cell of their gram has too.
+
+    The cells of a gram come one after the other in a task, unless there are many: those are taken
+    apart into windows, which are counted with partial sums.
+    """
+    many = cut(packed.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > MOST_CELLS)
+               .select("gram"))
+
+    def judged(table: pa.Table) -> pa.RecordBatch:
+        row, start, number = unpacked(table)
+        gram = table.column("gram").to_numpy()[row]
+        order = np.lexsort((number, gram))
+        same = (gram[order][1:] == gram[order][:-1]) & (number[order][1:] == number[order][:-1])
+        twice = np.zeros(len(row), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        row, start = row[twice], start[twice]
+        first, stops = union(start, start + LENGTH, row)
+        d1, d2 = (table.column(c).to_numpy()[row[first]] for c in ("d1", "d2"))
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in (d1, d2, start[first], stops)],
+                                          names=CELL[:4])
+
+    def by_gram(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            gram = table.column("gram").to_numpy()
+            open_ = int(np.flatnonzero(gram == gram[-1])[0])  # this gram may go on
+            yield judged(table.slice(0, open_))
+            held = table.slice(open_)
+        if held is not None:
+            yield judged(held)
+
+    def singly(batches):
+        for batch in batches:
+            row, start, number = unpacked(batch)
+            named = [batch.column(c).to_numpy()[row] for c in ("d1", "d2", "gram")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a) for a in (*named, start, number)],
+                names=["d1", "d2", "gram", "start", "number"])
+
+    few = packed.join(F.broadcast(many), "gram", "left_anti")
+    met = few.repartition("gram").sortWithinPartitions("gram").select(*WINDOWS).mapInArrow(
+        by_gram, SPAN)
+    if many.isEmpty():
+        return met
+    single = cut(packed.join(F.broadcast(many), "gram", "left_semi").select(*WINDOWS).mapInArrow(
+        singly, "d1 long, d2 long, gram long, start long, number long"))
+    twice = cut(single.groupBy("gram", "number").agg(F.count("*").alias("n")).filter("n > 1")
+                .select("gram", "number"))
+    return met.unionByName(join_unique(single, twice, ["gram", "number"], "left_semi").select(
+        "d1", "d2", "start", (F.col("start") + LENGTH).alias("stop")))
 
 
 def spans(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -233,11 +302,7 @@ def spans(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
     asked = cut(alone.select("gram", "at.*").unionByName(rivals.select("gram", "at.*"))
                 .groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "stop", "gram"))
                                          .alias("cells")))
-    single = cut(windows(rows, asked))
-    twice = cut(single.groupBy("gram", "window").agg(F.count("*").alias("n")).filter("n > 1")
-                .select("gram", "window"))
-    parts = join_unique(single, twice, ["gram", "window"], "left_semi").select(
-        "d1", "d2", "start", (F.col("start") + LENGTH).alias("stop"))
+    parts = shared(cut(windows(rows, asked)))
     return close(repeated.select(*CELL[:4]).unionByName(
         found.filter("gram is null").select(*CELL[:4])).unionByName(parts))
 
