@@ -9,6 +9,7 @@ import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
 
+from waitwright.lineage import cut
 from waitwright.llm import exact, mixing, pii
 from waitwright.llm.catalogue import QUERIES
 from waitwright.llm.statements import STATEMENTS
@@ -120,7 +121,7 @@ def test_mixing_is_fair_and_whole(spark):
             for i in range(1500)] + [(7, None, "en", "a", 1), (None, "t", "en", "b", 1)]
     docs = spark.createDataFrame(rows, DOCS)
     weights = {"a": 0.5, "b": 0.3, "c": 0.2}
-    got = mixing.mix(docs, weights=weights, block_chars=1000, period=64).select(
+    got = mixing.mix(docs, weights=weights, block_chars=1000, most_slots=64).select(
         "row.*", "epoch", "block", "slot", "start").collect()
     firsts = [r for r in got if r.epoch == 0]
     assert sorted(map(repr, ((r.doc_id, r.text, r.source) for r in firsts))) == \
@@ -128,6 +129,53 @@ def test_mixing_is_fair_and_whole(spark):
     assert len({(r.source, r.block) for r in got}) == len({r.slot for r in got})
 
 
+def prefix_gap(got, shares):
+    """Largest difference between a source's slots in a prefix and its share, in blocks."""
+    owner = {}
+    for r in got:
+        assert owner.setdefault(r.slot, r.source) == r.source
+    done, worst = dict.fromkeys(shares, 0), 0
+    assert sorted(owner) == list(range(len(owner)))  # no slot stays empty
+    for t in range(len(owner)):
+        done[owner[t]] += 1
+        worst = max(worst, *(abs(done[s] - w * (t + 1)) for s, w in shares.items()))
+    return worst
+
+
+def test_a_short_source_is_played_until_the_end(spark):
+    rows = [(i, "x" * 1000, "en", "long", 1) for i in range(400)]
+    rows += [(1000 + i, "y" * 1000, "en", "short", 1) for i in range(2)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), weights={"long": 0.5, "short": 0.5},
+                     block_chars=1000).select("row.*", "epoch", "block", "slot").collect()
+    assert prefix_gap(got, {"long": 0.5, "short": 0.5}) < 1
+    assert max(r.epoch for r in got if r.source == "short") >= 199
+    assert len({r.doc_id for r in got}) == 402
+
+
+def test_a_tiny_source_does_not_stretch_the_stream(spark):
+    rows = [(i, "x" * 1000, "en", "ab"[i % 2], 1) for i in range(40)] + [(99, "z", "en", "c", 1)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), block_chars=1000).select(
+        "row.*", "epoch", "slot").collect()
+    assert len({r.doc_id for r in got}) == 41
+    assert max(r.slot for r in got) < 60 and max(r.epoch for r in got) <= 1 + 60
+
+
+def test_ten_thousand_sources(spark):
+    docs = spark.range(20_000).select(
+        "id", F.expr("repeat('t', int(id % 97) + 1)").alias("body"),
+        F.expr("case when id % 4 = 0 then 'big' when id % 4 = 1 then null "
+               "else concat('host', id div 2) end").alias("site"), F.lit(1).alias("_s"))
+    got = cut(mixing.mix(docs, "id", "body", "site", block_chars=500, max_epochs=1))
+    assert got.select("row.id").distinct().count() == got.count() == 20_000
+    whole = mixing.mix(docs, "id", "body", "site", block_chars=500)
+    plan = whole._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    whole = cut(whole)
+    assert whole.select("row.id").distinct().count() == 20_000
+    slots = whole.groupBy("slot").agg(F.count_distinct("row.site", F.col("row.site").isNull()).alias("n"))
+    assert slots.filter("n > 1").isEmpty()
+
+
 def test_period_meets_releases_and_deadlines(spark):
     quotas = [400, 301, 170, 100, 41, 11, 1]
     shares = spark.createDataFrame([(i, q, sum(quotas)) for i, q in enumerate(quotas)],

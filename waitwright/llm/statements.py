@@ -93,14 +93,19 @@ STATEMENTS = {
     "op10_mixing": r"""
         with recursive rows as (
             select doc_id, source, greatest(1, length(coalesce(text, '')))::bigint as n,
-                   ('0x' || left(md5(coalesce(doc_id::varchar, '')), 8))::bigint as h
+                   ('0x' || left(md5(coalesce(doc_id::varchar, text, '')), 8))::bigint as h
             from documents),
         sizes as (select source, sum(n)::bigint as chars,
                          (ceil(sum(n) / 65536.0))::bigint as blocks from rows group by source),
-        p as (select greatest(1024, 4 * count(*))::bigint as period, count(*) as sources,
-                     sum(pow(chars::double, 0.9)) as raws from sizes),
-        i as (select s.*, p.*, pow(chars::double, 0.9) / raws * (period - sources) as ideal
+        t as (select count(*) as sources, sum(pow(chars::double, 0.9)) as raws from sizes),
+        m as (select max(ceil(round(chars * raws / (65536.0::double
+                  * greatest(pow(chars::double, 0.9), raws / 8192)), 6))) as need
+              from sizes, t),
+        p as (select sources, raws, greatest(4 * sources, least(8192, need))::bigint as period
+              from t, m),
+        g as (select s.*, p.*, greatest(pow(chars::double, 0.9), raws / 8192) as raw
               from sizes s, p),
+        i as (select *, raw / sum(raw) over () * (period - sources) as ideal from g),
         q as (select *, floor(ideal)::bigint + 1 +
                      (row_number() over (order by round(ideal - floor(ideal), 9) desc,
                                          source nulls first)
@@ -128,7 +133,7 @@ STATEMENTS = {
             from rows r join w on r.source is not distinct from w.source),
         played as (
             select *, epoch * blocks + start // 65536 as block
-            from (select *, unnest(range(4)) as epoch from placed)),
+            from (select *, unnest(range(horizon // blocks + 1)) as epoch from placed)),
         timed as (
             select doc_id, played.source, epoch, block, start, horizon,
                    (block // q) * period + slots.slot as slot
