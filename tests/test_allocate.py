@@ -231,8 +231,16 @@ def test_summary(table):
     assert row["staff_change"] == row["total_staff_recommended"] - row["total_staff_current"]
 
 
-def test_history_grows(spark, table, tmp_path):
-    rows = table("run_time timestamp_ntz, n int", [(datetime(2024, 1, 1), 1)])
+def test_history_grows_by_runs_and_repeats_replace(spark, table, tmp_path):
+    path = str(tmp_path / "h")
+    runs = [table("run_time timestamp_ntz, n int", [(datetime(2024, 1, day), n) for n in range(3)])
+            for day in (1, 2)]
+    for rows in (*runs, runs[0]):
+        al.append_history(rows, path)
+    assert spark.read.parquet(path).count() == 6
+    later = table("run_time timestamp_ntz, n int, job string", [(datetime(2024, 1, 1), 9, "x")])
     for _ in range(2):
-        al.append_history(rows, str(tmp_path / "h"))
-    assert spark.read.parquet(str(tmp_path / "h")).count() == 2
+        al.append_history(later, path, run="job")
+    days = {str(r["run_date"]): r["count"] for r in
+            spark.read.parquet(path).groupBy("run_date").count().collect()}
+    assert days == {"2024-01-01": 4, "2024-01-02": 3}

@@ -177,7 +177,7 @@ def test_many_departments_become_a_vector(spark):
         F.col("id").alias("patient_id"),
         F.concat(F.lit("d"), F.col("id") % 5000).alias("department"),
         (F.col("id") % 7).cast("double").alias("wait_time_minutes"))
-    fitted = prepare_splits(rows)
+    fitted = prepare_splits(rows, department_vector=True)
     assert "dept_vector" in fitted.features
     seen = fitted.rows.select("dept_vector").first()[0]
     assert seen.size == 5000 and seen.numNonzeros() == 1
@@ -186,6 +186,29 @@ def test_many_departments_become_a_vector(spark):
     assert sorted(v.numNonzeros() for v in vectors) == [0, 0, 1]
 
 
+@pytest.mark.parametrize("vector", [False, True])
+def test_saved_preparation_equals_the_fitted_one(spark, tmp_path, vector):
+    from pyspark.sql import functions as F
+
+    from waitwright.plans.preprocess import (
+        apply_prepared, load_prepared, prepare_splits, save_prepared,
+    )
+
+    rows = spark.range(900).select(
+        F.col("id").alias("patient_id"), F.concat(F.lit("d"), F.col("id") % 9).alias("department"),
+        (F.col("id") % 13).alias("queue_length_at_arrival"),
+        (F.col("id") % 7).cast("double").alias("wait_time_minutes"))
+    fitted = prepare_splits(rows, department_vector=vector)
+    assert ("dept_vector" in fitted.features) == vector
+    save_prepared(spark, str(tmp_path / "p"), fitted)
+    loaded = load_prepared(spark, str(tmp_path / "p"))
+    fresh = spark.createDataFrame([("d3", 4), ("new", 5), (None, None)],
+                                  "department string, queue_length_at_arrival int")
+    assert loaded.interactions and loaded.features == fitted.features
+    assert sorted(map(repr, apply_prepared(fresh, loaded).collect())) == sorted(
+        map(repr, apply_prepared(fresh, fitted).collect()))
+
+
 def test_tables_without_an_id_can_be_split(spark, data):
     from waitwright.plans.preprocess import prepare_splits
     from waitwright.sources import adapters as ad

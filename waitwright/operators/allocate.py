@@ -347,7 +347,14 @@ def allocate_with_cooldown(states: DataFrame, runs: DataFrame, method: str = "gr
     }).drop("kept", "reported_counters")
 
 
-def append_history(results: DataFrame, path: str, ts: str = "run_time") -> None:
-    """Keep every result, one folder per day."""
-    (results.withColumn("run_date", F.to_date(ts))
-     .write.mode("append").partitionBy("run_date").parquet(path))
+def append_history(results: DataFrame, path: str, ts: str = "run_time", run: str | None = None
+                   ) -> None:
+    """Keep every result, one folder per day and run.
+
+    ``run`` names the column that tells runs apart (default: the run time). A run that is written
+    again replaces itself; other runs and days are untouched.
+    """
+    named = results.withColumns({
+        "run_date": F.to_date(ts), "run_id": F.col(run or ts).cast("string")})
+    (named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_date", "run_id").parquet(path))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from waitwright.lineage import cut, is_small
 from waitwright.operators.ordering import arrange
 from waitwright.settings import CATEGORICAL_COLUMNS
+from waitwright.skew import join_unique
 
 SMALL_DOMAIN = 100_000
 MISSING_TEXT = "nan"
@@ -48,13 +49,15 @@ def apply_encoder(df: DataFrame, encoder: DataFrame, columns: list[str], *,
     small = is_small(encoder)
     for column in columns:
         lookup = encoder.where(F.col("column") == column).select(
-            F.col("value").alias("_value"), F.col("code").alias("_code"))
+            F.col("value").alias("_key"), F.col("code").alias("_code"))
+        keyed = df.withColumn("_key", _text(F.col(column)))
+        # A text that holds many rows is joined apart, so it never meets its code in one task.
+        joined = (keyed.join(F.broadcast(lookup), "_key", "left") if small
+                  else join_unique(keyed, lookup, ["_key"]))
         df = (
-            df.withColumn("_key", _text(F.col(column)))
-            .join(F.broadcast(lookup) if small else lookup, F.col("_key") == F.col("_value"),
-                  "left")
+            joined
             .withColumn(f"{column}{suffix}", F.coalesce(F.col("_code"), F.lit(unseen)))
-            .drop("_key", "_value", "_code")
+            .drop("_key", "_code")
         )
     return df
 

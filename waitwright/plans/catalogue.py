@@ -14,10 +14,14 @@ from waitwright.functions import calendar as cal
 from waitwright.functions import rules
 from waitwright.lineage import cut, scratch_path
 from waitwright.operators import allocate as al
-from waitwright.operators import clean, encode, model, report, scale, score, split
+from waitwright.operators import (
+    clean, drift, encode, folds, model, moves, report, scale, score, split,
+)
 from waitwright.operators.lags import latest_per, with_history, with_history_stats
 from waitwright.operators.ordering import arrange
-from waitwright.plans.preprocess import apply_prepared, fit_one_hot, prepare_splits, preprocess
+from waitwright.plans.preprocess import (
+    apply_prepared, fit_one_hot, load_prepared, prepare_splits, preprocess, save_prepared,
+)
 from waitwright.plans.training import train
 from waitwright.settings import TARGET
 from waitwright.sources import adapters as ad
@@ -753,6 +757,20 @@ def prepared_requests(spark, folder):
                     digits=5)
 
 
+@query
+def prepared_reload(spark, folder):
+    """The same inputs as ``prepared_requests`` from a saved and loaded preparation."""
+    path = scratch_path(spark, "prepared")
+    save_prepared(spark, path, prepare_splits(ad.timed_visits(spark, folder)))
+    fitted = load_prepared(spark, path)
+    names = ["department", "dept_OPD", "util_high", "low_capacity", "is_weekend", "log_queue",
+             "workload_index", "hour_sin", "is_peak_hours"]
+    checked = af.with_request_check(ad.scoring_requests(spark, folder))
+    inputs = apply_prepared(checked, fitted, ("request_id",))
+    return _rounded(inputs.select(F.col("_kept_request_id").alias("request_id"), *names), *names,
+                    digits=5)
+
+
 @query
 def run_reload(spark, folder):
     """A saved run scores new rows as the run itself does, for every department."""
@@ -816,13 +834,56 @@ def allocation_history(spark, folder):
     path = scratch_path(spark, "history")
     results = cut(al.allocate(_states(spark, folder)).withColumn(
         "run_time", F.col("snapshot").cast("timestamp_ntz")))
-    for odd in (0, 1):
+    for odd in (0, 1, 0):  # a repeated run replaces itself
         al.append_history(results.where(F.dayofmonth("snapshot") % 2 == odd), path)
     return spark.read.parquet(path).select(
         "snapshot", "department", "current_counters", "recommended_counters",
         F.col("run_date").cast("date").alias("run_date"))
 
 
+@query
+def alloc_moves(spark, folder):
+    states = ad.daily_departments(spark, folder).withColumnRenamed("wait_time", "predicted_wait")
+    return _rounded(moves.reallocate(states), "wait_before", "wait_after")
+
+
+@query
+def drift_retrain(spark, folder):
+    """Days on which the queueing estimate of a department has lost too much accuracy."""
+    scored = ad.plain_visits(spark, folder).withColumn("prediction", rules.queueing_estimate(
+        F.col("queue_length_at_arrival"), F.col("total_counters_available")))
+    days = cut(drift.daily_moments(scored, ("department",), "arrival_time"))
+    return _rounded(drift.retrain_days(days, ("department",)), "rmse", "base_rmse")
+
+
+@query
+def drift_span(spark, folder):
+    """Accuracy per department over the whole span, from daily moments alone."""
+    scored = ad.plain_visits(spark, folder).withColumn("prediction", rules.queueing_estimate(
+        F.col("queue_length_at_arrival"), F.col("total_counters_available")))
+    whole = drift.merge(drift.daily_moments(scored, ("department",), "arrival_time"),
+                        ("department",))
+    found = whole.select("department", "n", *[v.alias(k) for k, v in drift.measures().items()])
+    return _rounded(found, "rmse", "mae", "bias", "r2")
+
+
+_CV_GAP = 60.0
+
+
+@query
+def cv_folds(spark, folder):
+    placed, _ = folds.with_folds(ad.plain_visits(spark, folder), "arrival_time", _CV_GAP)
+    return placed.select(ID, "fold", "trains_from")
+
+
+@query
+def cv_metrics(spark, folder):
+    rows = ad.plain_visits(spark, folder).select(
+        "arrival_time", "queue_length_at_arrival", TARGET)
+    return _rounded(folds.cross_validate(rows, "arrival_time", ["queue_length_at_arrival"], TARGET,
+                                         gap_minutes=_CV_GAP), "rmse", "mae", "r2")
+
+
 @query
 def prepared_splits(spark, folder):
     prepared = prepare_splits(ad.timed_visits(spark, folder), decimals=2)

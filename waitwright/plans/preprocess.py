@@ -31,10 +31,10 @@ from waitwright.operators.split import split_in_two_steps
 from waitwright.settings import (
     ARRIVAL, CATEGORICAL_COLUMNS, FEATURES, LAGS, TARGET, VISIT_ID, WINDOWS, Z_LIMIT,
 )
-from waitwright.sources.tables import require_schema
+from waitwright.sources.tables import (
+    load_encoder, load_state, require_schema, save_encoder, save_state,
+)
 
-#: More departments than this become a vector: a plan cannot hold a column for each.
-COLUMN_LIMIT = 1000
 DEPARTMENT_VECTOR = "dept_vector"
 
 
@@ -110,7 +110,7 @@ def preprocess(df: DataFrame, as_of: datetime, encoder: DataFrame | None = None,
 class PreparedSplits:
     """Second feature set, scaled with the moments of its training rows."""
 
-    rows: DataFrame
+    rows: DataFrame | None
     features: list[str]
     encoder: DataFrame
     flags: FlagLimits
@@ -119,9 +119,36 @@ class PreparedSplits:
     interactions: bool = True
 
 
+def save_prepared(spark: SparkSession, path: str, fitted: PreparedSplits) -> None:
+    """All that ``apply_prepared`` needs, in one folder; the training rows are not part of it."""
+    one_hot = fitted.one_hot
+    save_encoder(fitted.encoder, f"{path}/encoder")
+    save_state(spark, f"{path}/state", features={"names": fitted.features},
+               scaler=fitted.scaler.moments, flags=fitted.flags.limits,
+               layout={"interactions": fitted.interactions, "one_hot": one_hot is not None,
+                       "departments": one_hot.values if one_hot else [],
+                       "vector": bool(one_hot and one_hot.vector)})
+    if one_hot and one_hot.vector:
+        one_hot.vector.write().overwrite().save(f"{path}/one_hot")
+        save_encoder(one_hot.codes, f"{path}/one_hot_codes")
+
+
+def load_prepared(spark: SparkSession, path: str) -> PreparedSplits:
+    """Fitted state without rows."""
+    state = load_state(spark, f"{path}/state")
+    layout = state["layout"]
+    one_hot = OneHot(layout["departments"]) if layout["one_hot"] else None
+    if layout["vector"]:
+        one_hot = OneHot([], load_encoder(spark, f"{path}/one_hot_codes"),
+                         OneHotEncoderModel.load(f"{path}/one_hot"))
+    scaler = Scaler({name: tuple(pair) for name, pair in state["scaler"].items()})
+    return PreparedSplits(None, state["features"]["names"], load_encoder(spark, f"{path}/encoder"),
+                          FlagLimits(state["flags"]), scaler, one_hot, layout["interactions"])
+
+
 @dataclass
 class OneHot:
-    """Departments as boolean columns, or beyond ``COLUMN_LIMIT`` as one sparse vector."""
+    """Departments as boolean columns, or as one sparse vector if the caller asks for it."""
 
     values: list[str]
     codes: DataFrame | None = None
@@ -139,10 +166,13 @@ class OneHot:
         return self.vector.transform(coded).drop("department_code")
 
 
-def fit_one_hot(df: DataFrame) -> OneHot:
-    """Any number of departments; a null or unknown one is in none of them."""
+def fit_one_hot(df: DataFrame, as_vector: bool = False) -> OneHot:
+    """One form whatever the number of departments; a null or unknown one is in none of them.
+
+    A plan holds a column per department at most in the low thousands; beyond, ask for the vector.
+    """
     known = cut(df.select("department").where("department is not null").distinct())
-    if known.count() <= COLUMN_LIMIT:
+    if not as_vector:
         return OneHot([row["department"] for row in known.orderBy("department").collect()])
     codes = fit_encoder(known, ["department"])
     encoder = OneHotEncoder(inputCol="department_code", outputCol=DEPARTMENT_VECTOR,
@@ -152,12 +182,14 @@ def fit_one_hot(df: DataFrame) -> OneHot:
 
 def prepare_splits(df: DataFrame, target: str = "wait_time_minutes", *, key: str = VISIT_ID,
                    lags: tuple[int, ...] = LAGS, windows: tuple[int, ...] = WINDOWS,
-                   interactions: bool = True, z_limit: float | None = Z_LIMIT,
+                   interactions: bool = True, department_vector: bool = False,
+                   z_limit: float | None = Z_LIMIT,
                    test_size: float = 0.15, val_size: float = 0.15,
                    decimals: int | None = None) -> PreparedSplits:
     """Features, codes, outlier filter, split and scaling of the second layout."""
     df = drop_missing_target(nan_to_null(df), target)
-    one_hot = fit_one_hot(df) if interactions and "department" in df.columns else None
+    hot = interactions and "department" in df.columns
+    one_hot = fit_one_hot(df, department_vector) if hot else None
     df = with_calendar_flags(df)
     if "timestamp" in df.columns:
         ordered = arrange(df, time_order(df, "timestamp"))

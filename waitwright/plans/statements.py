@@ -814,6 +814,80 @@ select request_id, {", ".join(
     f'round(("{c}"::double - "{c}_m") / case when "{c}_s" = 0 then 1 else "{c}_s" end, 5) '
     f'+ 0.0::double as "{c}"' for c in _ASKED)} from asked, moments"""
 
+STATEMENTS["prepared_reload"] = STATEMENTS["prepared_requests"]
+
+# --- moves, drift, folds ----------------------------------------------------------------------
+STATEMENTS["alloc_moves"] = f"""with {DAILY}, needs as (
+select *, utilization * current_counters as busy from state), raised as (
+select *, greatest(lo, least(hi, ceil(round(busy / 0.85::double, 9)))) as up,
+  floor(round(busy / 0.6::double, 9)) as enough from needs), bounds as (
+select *, case when sum(up) over (partition by snapshot) <= 15 then up else lo end as low
+from raised), spare as (
+select *, greatest(low, least(hi, enough)) as high, 15 - sum(low) over (partition by snapshot)
+  as spare, weight * wait_time * greatest(current_counters, 1)::double as value from bounds),
+units as (
+select snapshot, department, spare, k, value / (k::double * (k::double - 1))
+  - case when k > current_counters then 5.0::double else 0.0::double end as gain
+from (select *, unnest(range(low::int + 1, high::int + 1)) as k from spare)), ranked as (
+select *, row_number() over (partition by snapshot order by gain desc, department, k) as place
+from units where gain > 0), taken as (
+select snapshot, department, count(*) as more from ranked where place <= spare group by 1, 2)
+select snapshot, department, current_counters,
+  (low + coalesce(more, 0))::int as recommended_counters,
+  greatest(0, low + coalesce(more, 0) - current_counters)::int as moved,
+  greatest(0, low + coalesce(more, 0) - current_counters)::int * 5.0::double as move_minutes,
+  round(wait_time, 6) as wait_before,
+  round(wait_time * greatest(current_counters, 1)::double / (low + coalesce(more, 0))::double, 6)
+    as wait_after, spare >= 0 as feasible
+from spare left join taken using (snapshot, department)"""
+_ERRORS = f"""{VISITS}, scored as (
+select department, cast(arrival_time as date) as day,
+  cast(round(waiting_time * 100) as bigint) as y,
+  cast(round(waiting_time * 100) as bigint) - cast(round(cast(queue_length_at_arrival as double)
+    / cast(total_counters_available as double) * 3.5::double * 100) as bigint) as e from visits
+where waiting_time is not null and queue_length_at_arrival is not null)"""
+STATEMENTS["drift_retrain"] = f"""with {_ERRORS}, days as (
+select department, day, count(*) as n, sum(e * e) as squared from scored group by 1, 2),
+base as (
+select department, sqrt(sum(squared)::double / sum(n)::double) / 100.0::double as base_rmse
+from (select *, min(day) over (partition by department) as first from days)
+where day < first + 7 group by 1), looked as (
+select department, day, sum(n) over span as n, sum(squared) over span as squared from days
+window span as (partition by department order by day
+  range between interval 6 days preceding and current row)), judged as (
+select department, day, n::bigint as n, sqrt(squared::double / n::double) / 100.0::double as rmse
+from looked)
+select department, day, n, round(rmse, 6) as rmse, round(base_rmse, 6) as base_rmse,
+  n >= 1000 and rmse > 1.05::double * base_rmse as retrain from judged join base using (department)"""
+STATEMENTS["drift_span"] = f"""with {_ERRORS}
+select department, count(*) as n, round(sqrt(sum(e * e)::double / count(*)) / 100, 6) as rmse,
+  round(sum(abs(e))::double / count(*) / 100, 6) as mae,
+  round(sum(e)::double / count(*) / 100, 6) as bias,
+  round(1 - sum(e * e)::double / (sum(y * y)::double - sum(y)::double * sum(y)::double / count(*)),
+    6) as r2
+from scored group by department"""
+_CUTS = ", ".join(f"max(arrival_time) filter (where place = floor({round(i / 6, 10)}::double * "
+                  f"(n - 1))) as b{i}" for i in range(1, 6))
+_FOLDS = f"""{VISITS}, placed as (
+select arrival_time, row_number() over (order by arrival_time) - 1 as place,
+  count(*) over () as n from visits), cuts as (select {_CUTS} from placed), folds as (
+select visits.*, {" + ".join(f"(arrival_time >= b{i})::int" for i in range(1, 6))} as fold,
+  1 + {" + ".join(f"(arrival_time >= b{i} - interval 60 minutes)::int" for i in range(1, 6))}
+    as trains_from from visits, cuts)"""
+STATEMENTS["cv_folds"] = f"""with {_FOLDS} select patient_id, fold, trains_from from folds"""
+STATEMENTS["cv_metrics"] = f"""with {_FOLDS}, pairs as (
+select fold, trains_from, queue_length_at_arrival::double as x, waiting_time as y from folds),
+fits as (
+select f as fold, avg(x) as mx, avg(y) as my,
+  (sum(x * y) - sum(x) * sum(y) / count(*)) / (sum(x * x) - sum(x) * sum(x) / count(*) + 1) as w
+from pairs, range(1, 6) t(f) where trains_from <= f and x is not null and y is not null group by f),
+errors as (
+select fold, y, y - (my + w * (x - mx)) as e from pairs join fits using (fold)
+where x is not null and y is not null)
+select fold::int as fold, count(*) as rows, round(sqrt(avg(e * e)), 6) as rmse,
+  round(avg(abs(e)), 6) as mae, round(1 - avg(e * e) / var_pop(y), 6) as r2
+from errors group by fold"""
+
 # --- streams ----------------------------------------------------------------------------------
 STATEMENTS["stream_latest"] = f"""with {FEED} select "timestamp", department, queue_length,
   wait_time, active_counters, patient_id from latest"""
