@@ -74,6 +74,35 @@ def test_odd_texts_and_a_cluster_of_near_copies(spark, monkeypatch, size, block)
     assert found(spark, rows, size, 80) == brute(rows, size, 80)
 
 
+@pytest.mark.parametrize("block", [2048, 8])
+def test_ids_repeated_under_different_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    line = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, "aa bb cc"), (1, line(0, 100)), (2, line(0, 101)), (3, "aa bb cc"), (4, line(0, 99)),
+            (10, line(500, 560)), (11, line(500, 560)), (11, line(700, 760)), (12, line(700, 761)),
+            (12, ""), (13, None), (13, "one two three"), (9, "one two three"), (20, "lone"), (20, " ")]
+    rng = random.Random(9)
+    for i in range(80):  # a chain of ids, each with texts of two clusters
+        rows += [(1000 + i // 2, line(2000 + 10 * (i % 7), 2100 + 10 * (i % 7)) + f" z{i}"),
+                 (1000 + rng.randrange(60), line(3000, 3100 + i % 5))]
+    rng.shuffle(rows)
+    assert found(spark, rows, 2, 80) == brute(rows, 2, 80)
+
+
+def test_an_empty_text_shares_the_fate_of_its_id(spark):
+    rows = [(5, "a b c d e f"), (7, "a b c d e f g"), (7, ""), (8, "")]
+    assert found(spark, rows, 2, 80) == brute(rows, 2, 80)
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    long_text = " ".join(f"v{i}" for i in range(120_000))
+    rows = [(1, long_text), (2, long_text + " end"), (3, "short text here"), (4, None)]
+    frame = spark.createDataFrame([(i, t, "x", 1, [2]) for i, t in rows],
+                                  "doc_id long, text string, key string, n int, bands array<int>")
+    got = {r.doc_id: r.component_id for r in near.classes(frame, size=5).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_no_rows(spark):
     assert found(spark, [], 5, 80) == []
     assert found(spark, [(1, None)], 5, 80) == [(1, 0, 1)]

@@ -19,8 +19,8 @@ So every pair that shares a bucket is linked, ruled out, or already in one compo
 similarity 0.8 a pair shares no bucket with a chance of (1 - 0.8^4)^32, 5 in 10^8.
 
 Defined cases: a null text and a text without words have no shingles and link with nothing; a text
-with fewer words than a shingle is one shingle; rows that repeat an id are one node (and each of
-them reports it); rows with a null id link with nothing, have no component and are kept; an empty
+with fewer words than a shingle is one shingle; rows that repeat an id, with equal or different
+texts, are one node that holds all their sets, and each of them reports it; rows with a null id link with nothing, have no component and are kept; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -45,7 +45,9 @@ STRIP = 64            # rows compared with a whole block at once
 _random = np.random.default_rng(606)
 FACTORS = _random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-SIGNATURE = ("key long, n int, print_a long, print_b long, bands array<long>, sketch binary")
+SIGNATURE = ("key long, t long, n int, print_a long, print_b long, bands array<long>, sketch binary")
+PAIR = ["a", "t_a", "b", "t_b"]
+PAIR_TYPE = "a long, t_a long, b long, t_b long"
 
 
 def distinct_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +96,14 @@ def most_odd(n_a, n_b, threshold: int):
     return np.where(np.maximum(n_a, n_b) <= SAMPLE, exact, sampled)
 
 
+def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, t, text: an id may come with several texts, which t tells apart."""
+    return df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("t"),
+                     F.col(text).alias("text"))
+
+
 def signatures(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("print_a", pa.int64()),
+    schema = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("n", pa.int32()), ("print_a", pa.int64()),
                         ("print_b", pa.int64()), ("bands", pa.list_(pa.int64())),
                         ("sketch", pa.binary())])
 
@@ -120,13 +128,12 @@ def signatures(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     for row, bits in zip(filled, odd_sketches(values, starts)):
                         sketches[row] = bits.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("key"), pa.array(counts.astype(np.int32)),
+                    [piece.column("key"), piece.column("t"), pa.array(counts.astype(np.int32)),
                      pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands)),
                      pa.array(sketches, pa.binary())], schema=schema)
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        task, SIGNATURE)
+    return texts_of(df, key, text).mapInArrow(task, SIGNATURE)
 
 
 def popcount(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,32 +145,37 @@ def bitmaps(column) -> np.ndarray:
 
 
 def sift(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) that the odd sketches cannot rule out."""
-    thin = nodes.select("key", "n", "sketch")
-    named = lambda side: thin.select(*(F.col(c).alias(f"{c}_{side}") for c in thin.columns))
-    both = (pairs.join(named("a"), F.col("a") == F.col("key_a"))
-            .join(named("b"), F.col("b") == F.col("key_b"))
+    """Pairs (a, t_a, b, t_b) that the odd sketches cannot rule out."""
+    thin = nodes.select("key", "t", "n", "sketch")
+    named = lambda side: thin.select(F.col("key").alias(side), F.col("t").alias(f"t_{side}"),
+                                     *(F.col(c).alias(f"{c}_{side}") for c in ("n", "sketch")))
+    both = (pairs.join(named("a"), ["a", "t_a"]).join(named("b"), ["b", "t_b"])
             # Sizes alone rule out many: the smaller set is at least the threshold of the larger.
             .filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-            .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"))
+            .select(*PAIR, "n_a", "n_b", "sketch_a", "sketch_b"))
 
     def task(batches):
         for batch in batches:
             n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
             odd = popcount(bitmaps(batch.column("sketch_a")), bitmaps(batch.column("sketch_b"))) \
                 if batch.num_rows else np.zeros(0)
-            yield batch.select(["a", "b"]).filter(pa.array(odd <= most_odd(n_a, n_b, threshold)))
+            yield batch.select(PAIR).filter(pa.array(odd <= most_odd(n_a, n_b, threshold)))
 
-    return both.mapInArrow(task, "a long, b long")
+    return both.mapInArrow(task, PAIR_TYPE)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold, decided on the words themselves."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    wanted = cut(texts.join(broadcast_if_small(ids), "key", "left_semi")
-                 .groupBy("key").agg(F.min("text").alias("text")))
-    named = lambda side: wanted.select(F.col("key").alias(side), F.col("text").alias(f"text_{side}"))
-    both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
+    """Pairs (a, b) with full shingle sets that reach the threshold, decided on the words."""
+    ids = cut(pairs.select(F.explode(F.array(
+        F.struct(F.col("a").alias("key"), F.col("t_a").alias("t")),
+        F.struct(F.col("b").alias("key"), F.col("t_b").alias("t")))).alias("i"))
+        .select("i.*").distinct())
+    wanted = cut(texts.join(broadcast_if_small(ids), ["key", "t"], "left_semi")
+                 .groupBy("key", "t").agg(F.min("text").alias("text")))
+    named = lambda side: wanted.select(F.col("key").alias(side), F.col("t").alias(f"t_{side}"),
+                                       F.col("text").alias(f"text_{side}"))
+    both = (pairs.join(named("a"), ["a", "t_a"]).join(named("b"), ["b", "t_b"])
+            .select(*PAIR, "text_a", "text_b"))
 
     def shingle_set(words: Words, row: int) -> set:
         mine = [words.data[s:e].tobytes() for s, e in zip(
@@ -179,7 +191,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Da
                 left = Words(piece.column("text_a"), SPACED)
                 right = Words(piece.column("text_b"), SPACED)
                 keep, last, held = [], None, set()
-                for i, a in enumerate(piece.column("a").to_pylist()):
+                for i, a in enumerate(zip(piece.column("a").to_pylist(),
+                                          piece.column("t_a").to_pylist())):
                     if a != last:
                         last, held = a, shingle_set(left, i)
                     other = shingle_set(right, i)
@@ -194,7 +207,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Da
 def across(members: DataFrame, threshold: int, band_count: int = BANDS) -> DataFrame:
     """Pairs of a bucket in different components that pass the sketch test, block by block.
 
-    members: bucket, rows (in the bucket), key, component, n, bands, sketch.
+    members: bucket, rows (in the bucket), key, t, component, n, bands, sketch.
     """
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("key"), blocks).cast("int")
@@ -204,8 +217,9 @@ def across(members: DataFrame, threshold: int, band_count: int = BANDS) -> DataF
              .withColumn("high", F.greatest("block", "other")))
 
     def compare(table: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
-        key, part = table.column("key").to_numpy(), table.column("component").to_numpy()
+        out = []
+        key, t, part = (
+            table.column(c).to_numpy() for c in ("key", "t", "component"))
         n = table.column("n").to_numpy().astype(float)
         bucket = table.column("bucket")[0].as_py()
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, band_count)
@@ -228,12 +242,28 @@ def across(members: DataFrame, threshold: int, band_count: int = BANDS) -> DataF
                 x, y = x[near], y[near]
                 shared = (bands[x] == bands[y]).argmax(axis=1)
                 x, y = x[shared == first[x]], y[shared == first[x]]
-                out_a.append(np.minimum(key[x], key[y]))
-                out_b.append(np.maximum(key[x], key[y]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(empty + out_a), "b": np.concatenate(empty + out_b)})
+                x, y = np.where(key[x] < key[y], x, y), np.where(key[x] < key[y], y, x)
+                out.append((key[x], t[x], key[y], t[y]))
+        columns = zip(*out) if out else [[np.zeros(0, np.int64)]] * 4
+        return pa.table(dict(zip(PAIR, map(np.concatenate, columns))))
+
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(compare, PAIR_TYPE)
+
+
+def several_sets(signed: DataFrame) -> DataFrame:
+    """Ids whose rows have different sets."""
+    prints = F.struct("print_a", "print_b", "n")
+    return (signed.filter("key is not null").groupBy("key")
+            .agg(F.min(prints).alias("least"), F.max(prints).alias("most"))
+            .filter("least <> most").select("key"))
+
 
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long")
+def same_id(signed: DataFrame, several: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between such an id and the nodes of its sets."""
+    sets = signed.filter("n > 0").join(broadcast_if_small(several), "key", "left_semi")
+    return (sets.select(F.col("key").alias("a"), "print_a", "print_b", "n").distinct()
+            .join(nodes.select("print_a", "print_b", "n", F.col("key").alias("b")),
+                  ["print_a", "print_b", "n"]).filter("a <> b").select("a", "b"))
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
@@ -241,19 +271,24 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     """One row per input row: key, n_shingles, set_id (smallest id with the same set),
     component_id (smallest id reachable), kept (whether it is that id)."""
     signed = cut(signatures(df, key, text, size))
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = texts_of(df, key, text)
     usable = signed.filter("n > 0 and key is not null")
     # Equal sets: one node. Copies shrink before the shuffle.
     nodes = cut(usable.groupBy("print_a", "print_b", "n").agg(
-        F.min(F.struct("key", "bands", "sketch")).alias("least"))
+        F.min(F.struct("key", "t", "bands", "sketch")).alias("least"))
         .select("print_a", "print_b", "n", "least.*"))
-    listed = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = cut(listed.groupBy("bucket").agg(F.count("*").alias("rows"),
-                                              F.min("key").alias("pivot")).filter("rows > 1"))
+    listed = nodes.select("key", "t", F.explode("bands").alias("bucket"))
+    shared = cut(listed.groupBy("bucket").agg(
+        F.count("*").alias("rows"), F.min(F.struct("key", "t")).alias("pivot"))
+        .filter("rows > 1").select("bucket", "rows", F.col("pivot.key").alias("a"),
+                                   F.col("pivot.t").alias("t_a")))
     members = cut(listed.join(broadcast_if_small(shared), "bucket"))
-    stars = cut(sift(members.filter("key <> pivot").select(
-        F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), nodes, threshold))
-    links = cut(confirm(stars, texts, size, threshold))
+    stars = cut(sift(members.filter("key <> a").select(
+        "a", "t_a", F.col("key").alias("b"), F.col("t").alias("t_b")).distinct(),
+        nodes, threshold))
+    several = cut(several_sets(signed))
+    own = cut(same_id(signed, several, nodes))
+    links = cut(confirm(stars, texts, size, threshold)).unionByName(own)
     parts = components(links)
     placed = members.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
@@ -261,9 +296,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         F.min("component").alias("first"), F.max("component").alias("last"),
         F.max("rows").alias("size")).filter("first <> last and size > 2").select("bucket")
     torn = cut(placed.join(broadcast_if_small(cut(split)), "bucket").select(
-        "bucket", "rows", "key", "component"))
-    wide = torn.join(nodes.select("key", "n", "bands", "sketch"), "key")
-    rest = cut(across(wide, threshold).distinct().join(stars, ["a", "b"], "left_anti"))
+        "bucket", "rows", "key", "t", "component"))
+    wide = torn.join(nodes.select("key", "t", "n", "bands", "sketch"), ["key", "t"])
+    rest = cut(across(wide, threshold).distinct().join(stars, PAIR, "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(cut(confirm(rest, texts, size, threshold)))
         parts = components(links)
@@ -271,11 +306,15 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     smallest = (named.join(parts, F.col("set_id") == F.col("node"), "left")
                 .select("print_a", "print_b", "n", "set_id",
                         F.coalesce("component", "set_id").alias("component_id")))
-    return (
-        signed.select("key", "n", "print_a", "print_b")
-        .join(smallest, ["print_a", "print_b", "n"], "left")
-        .select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n_shingles"),
-                F.when(F.col("key").isNotNull(), F.coalesce("set_id", "key")).alias("set_id"),
-                F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
-                .alias("component_id"))
-        .withColumn("kept", F.col(key).eqNullSafe(F.col("component_id"))))
+    rows = signed.select("key", "n", "print_a", "print_b").join(
+        smallest, ["print_a", "print_b", "n"], "left")
+    if not several.isEmpty():  # texts without words share the fate of their id
+        ids = parts.select(F.col("node").alias("key"), F.col("component").alias("_own"))
+        bare = rows.filter("n = 0").join(ids, "key", "left").withColumn(
+            "component_id", F.col("_own")).drop("_own")
+        rows = rows.filter("n > 0").unionByName(bare)
+    return rows.select(
+        F.col("key").alias(key), F.col("n").cast("bigint").alias("n_shingles"),
+        F.when(F.col("key").isNotNull(), F.coalesce("set_id", "key")).alias("set_id"),
+        F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id")
+    ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
