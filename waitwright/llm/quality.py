@@ -124,16 +124,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     return Model(edges, weights, intercept)
 
 
-def evidence(docs: DataFrame, model: Model, carry: dict[str, Column], text: str = "text"
-             ) -> DataFrame:
-    """Carried columns of each row and ``low``, its evidence in millionths."""
+def evidence(docs: DataFrame, model: Model, carry: dict[str, Column], text: str = "text",
+             most: int = 4 << 20) -> DataFrame:
+    """Carried columns of each row and ``low``, its evidence in millionths.
+
+    ``most``: bytes of text that a task looks at together; rows are the same at any size.
+    """
     kept = docs.select(*(c.alias(name) for name, c in carry.items()), F.col(text).alias("_text"))
     schema = kept.drop("_text").withColumn("low", F.lit(0).cast("bigint")).schema
     names = list(carry)
 
     def task(batches):
         for batch in batches:
-            for piece in pieces(batch, "_text"):
+            for piece in pieces(batch, "_text", most):
                 low = np.rint(model.low(piece.column("_text")) * MILLION).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [*(piece.column(c) for c in names), pa.array(low)], names=[*names, "low"])
@@ -216,7 +219,7 @@ def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     the whole rows, which is cheaper than writing them out or joining them back.
     """
     model = learn(docs, labels, key=key, text=text)
-    known = sites(evidence(docs, model, _site(host, path), text))
+    known = sites(evidence(docs, model, _site(host, path), text, 1 << 20))
     rows = evidence(docs, model, {
-        **_site(host, path), "row": F.struct(*(F.col(f"`{c}`") for c in docs.columns))}, text)
+        **_site(host, path), "row": F.struct(*(F.col(f"`{c}`") for c in docs.columns))}, text, 1 << 20)
     return posteriors(rows, known).filter(F.col("quality") >= threshold).select("row.*")
