@@ -258,7 +258,7 @@ def _valued(tree: Tree, node: int, side: tuple[int, int], unit: float, settings:
 
 
 def _grow_symmetric(root: np.ndarray, level, unit: float, settings: Settings) -> Tree:
-    tree, cells = Tree(), {0: root}
+    tree, cells = Tree(n=[int(root[1, 0].sum())]), {0: root}
     for depth in range(settings.depth):
         gain, feature, at = _best(sum(cut_gains(c, settings) for c in cells.values()))
         if not gain > 0:
@@ -277,7 +277,7 @@ def _grow_symmetric(root: np.ndarray, level, unit: float, settings: Settings) ->
 
 
 def _grow_leafwise(root: np.ndarray, level, unit: float, settings: Settings) -> Tree:
-    probe, cells, known = Tree(), {0: root}, {}     # node: (-least gain on the way, depth, cut)
+    probe, cells, known = Tree(n=[int(root[1, 0].sum())]), {0: root}, {}    # node: (-least gain on the way, depth, cut)
     least = {0: np.inf}
     for depth in range(settings.depth):
         for node, held in cells.items():

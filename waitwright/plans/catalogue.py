@@ -15,7 +15,7 @@ from waitwright.functions import rules
 from waitwright.lineage import cut, scratch_path
 from waitwright.operators import allocate as al
 from waitwright.operators import (
-    clean, drift, encode, folds, model, moves, report, scale, score, split,
+    boost, clean, drift, encode, folds, model, moves, report, scale, score, split,
 )
 from waitwright.operators.lags import latest_per, with_history, with_history_stats
 from waitwright.operators.ordering import arrange
@@ -653,6 +653,18 @@ def model_compare(spark, folder):
         rounds_within_limits=1 <= run.rounds["leafwise"] <= 40 and 1 <= run.rounds["symmetric"] <= 20)
 
 
+@query
+def boost_tree(spark, folder):
+    """First tree of the histogram booster on all training orders: cuts, rows and values."""
+    train_rows = _split_orders(spark, folder).where("split = 'train'")
+    fitted = boost.fit(train_rows, _ORDER_INPUTS, _ORDER_VALUE,
+                       settings=boost.leafwise(rounds=1, leaves=4, depth=2))
+    names = F.array(*(F.lit(n) for n in _ORDER_INPUTS))
+    return fitted.nodes(spark).select(
+        "node", F.when(F.col("feature") >= 0, F.get(names, F.col("feature"))).alias("feature"),
+        "threshold", "n", F.round("value", 4).alias("value"))
+
+
 def _bases(rounds: int = 6):
     return {"leafwise": model.boosted_leafwise(_ORDER_VALUE, rounds),
             "symmetric": model.boosted_symmetric(_ORDER_VALUE, rounds, depth=6),

@@ -769,6 +769,44 @@ _TEST_ORDERS = f"""(select count(*) from (select distinct l_orderkey as k from l
   where floor({_HASH.format(key='k', bits=2147483648, seed=42)} * 100 / 4294967296) >= 85)"""
 STATEMENTS["model_compare"] = f"""select 2 as candidates, {_TEST_ORDERS} as scored_rows,
   true as best_has_least_rmse, true as all_beat_mean, true as rounds_within_limits"""
+def _level(nodes: str, cells: str) -> str:
+    """Best cut of each node: its feature, bin and sides."""
+    return f"""sums{nodes} as (select node, f, bin, sum(sum(u)) over w as l,
+    sum(count(*)) over w as nl, sum(sum(u)) over (partition by node, f) as t,
+    sum(count(*)) over (partition by node, f) as nt from {cells} group by node, f, bin
+    window w as (partition by node, f order by bin)),
+  cut{nodes} as (select node, f, bin from (select *, row_number() over (partition by node order by
+      (l::double * l / nl + (t - l)::double * (t - l) / (nt - nl)) - t::double * t / nt desc, f, bin)
+      as place from sums{nodes} where nl >= 20 and nt - nl >= 20) where place = 1),
+  side{nodes} as (select x.k, 2 * x.node + 1 + (x.bin > c.bin)::int as node
+    from {cells} x join cut{nodes} c using (node, f)),
+  cells{nodes} as (select x.k, x.f, x.bin, x.u, s.node from {cells} x join side{nodes} s using (k))"""
+
+
+STATEMENTS["boost_tree"] = f"""with orders as (select l_orderkey as k, count(*)::double as f0,
+    sum(round(l_quantity * 100)::bigint) / 100 as f1, max(l_quantity)::double as f2,
+    sum(round(l_discount * 100)::bigint) / 100 / count(*) as f3,
+    sum(round(l_extendedprice * 100)::bigint) / 100 as y from lineitem group by l_orderkey
+    having floor({_HASH.format(key='l_orderkey', bits=2147483648, seed=42)} * 100 / 4294967296) < 70),
+  facts as (select round(avg(y), 6) as base,
+    greatest(max(y) - round(avg(y), 6), round(avg(y), 6) - min(y)) / 1048576 as unit from orders),
+  long as (select k, round_even((y - base) / unit, 0)::bigint as u, unnest([0, 1, 2, 3]) as f,
+    unnest([f0, f1, f2, f3]) as v from orders, facts),
+  sorted as (select f, list_sort(list(v)) as vs, count(*) as n from long group by f),
+  edges as (select distinct f, vs[1 + floor(i / 63.0 * (n - 1))::bigint] as edge
+    from sorted, range(1, 63) as r(i)),
+  places as (select f, edge, row_number() over (partition by f order by edge) as bin from edges),
+  cells as (select x.k, x.f, x.u, 0 as node, coalesce(p.bin, 64) as bin
+    from long x asof left join places p on x.f = p.f and x.v <= p.edge),
+  {_level("0", "cells")}, {_level("1", "cells0")},
+  cuts as (select * from cut0 union all select * from cut1),
+  held as (select node, sum(u) as t, count(*) as n from (select node, u from cells where f = 0
+    union all select node, u from cells0 where f = 0 union all
+    select node, u from cells1 where f = 0) group by node)
+select h.node::int as node, ['lines', 'quantity', 'largest', 'discount'][c.f + 1] as feature,
+  p.edge as threshold, h.n::bigint as n,
+  case when h.node = 0 then 0.0 else round(0.05 * h.t * unit / h.n, 4) end as value
+from held h left join cuts c using (node) left join places p on c.f = p.f and c.bin = p.bin, facts"""
 STATEMENTS["model_stack"] = f"""select {_TEST_ORDERS} as scored_rows, 4 as bases, 4 as weights,
   true as beats_mean, true as never_negative"""
 STATEMENTS["feature_importance"] = """select cast(4 as bigint) as features, 1.0::double as total,
