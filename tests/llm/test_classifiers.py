@@ -148,10 +148,24 @@ def test_posteriors_shrink_like_a_plain_computation(spark):
     odds = lambda p: log((q := min(1 - 1e-6, max(1e-6, p))) / (1 - q))
     assert len(got) == len(rows)
     for r in got:
-        host = (sum(hosts[r.host]) + k_host * overall) / (len(hosts[r.host]) + k_host)
+        own = r.low / 1e6
+        host = (sum(hosts[r.host]) - own + k_host * overall) / (len(hosts[r.host]) - 1 + k_host)
         mine = paths[r.host, r.path]
-        path = (sum(mine) + k_path * host) / (len(mine) + k_path)
+        path = (sum(mine) - own + k_path * host) / (len(mine) - 1 + k_path)
         assert r.host_mean == pytest.approx(host, abs=1e-4)
         assert r.path_mean == pytest.approx(path, abs=1e-4)
         assert r.quality == pytest.approx(
             1 / (1 + exp(odds(r.low / 1e6) + odds(path) - odds(overall))), abs=1e-3)
+
+
+def test_the_only_row_of_a_site_counts_once(spark):
+    """Its path says what its host's other rows say, whatever its own evidence."""
+    rows = [("a", "p", 100_000)] * 50 + [("b", "p", 700_000)] * 50
+    alone = [("a", "q", 990_000), ("c", "r", 990_000)]
+    frame = spark.createDataFrame(rows + alone, "host string, path string, low long")
+    known = quality.sites(frame)
+    got = {(r.host, r.path): r for r in quality.posteriors(frame, known).collect()}
+    of_a = (50 * 0.1 + known.k_host * known.overall) / (50 + known.k_host)
+    assert got["a", "q"].path_mean == pytest.approx(of_a)
+    assert got["c", "r"].path_mean == pytest.approx(known.overall)
+    assert got["c", "r"].quality == pytest.approx(0.01, abs=1e-6)

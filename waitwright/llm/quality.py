@@ -5,7 +5,8 @@ symbols, capitals, repeated words and lines, lengths, each cut into bands. It is
 bounded sample of labelled rows. Sites form a hierarchy, host over path. Each level's mean evidence
 is shrunk toward the level above: (sum + k * mean above) / (n + k), the weight k estimated from
 the spread between the groups of that level by moments, so that a site with few rows says little. A
-row's posterior odds are its evidence odds times the odds of its path over the global odds.
+row's posterior odds are its evidence odds times the odds of its path over the global odds, where
+path and host are judged by their other rows: the only row of a site has the mean of its host.
 
 Sums are of whole millionths, so results do not depend on the order of rows. Grouping runs on
 partial sums; groups return to the rows by broadcast while they are few (measured), else by shuffle.
@@ -164,12 +165,14 @@ def _weight(groups: DataFrame) -> float:
 
 @dataclass
 class Sites:
-    means: DataFrame        # _host, _path, host_mean, path_mean
+    sums: DataFrame         # _host, _path, rows and evidence of both levels
     overall: float
+    k_host: float
+    k_path: float
 
 
 def sites(rows: DataFrame) -> Sites:
-    """Shrunk means of every host and path of rows (host, path, low)."""
+    """Sums of every host and path of rows (host, path, low), and the weights of both levels."""
     low = F.col("low")
     paths = cut(rows.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.sum(low).alias("total"), F.sum(low * low).alias("squares")))
@@ -177,23 +180,31 @@ def sites(rows: DataFrame) -> Sites:
     whole = hosts.agg(F.sum("total"), F.sum("n")).first()
     overall = (whole[0] or 0) / max(whole[1] or 0, 1) / MILLION
     k_host, k_path = _weight(hosts), _weight(paths)
-    mean = lambda k, above: (F.col("total") / MILLION + k * above) / (F.col("n") + k)
-    host_means = hosts.select(F.col("host").alias("_host"),
-                              mean(k_host, F.lit(overall)).alias("host_mean"))
-    means = paths.join(broadcast_if_small(host_means), F.expr("host <=> _host")).select(
-        "_host", F.col("path").alias("_path"), "host_mean",
-        mean(k_path, F.col("host_mean")).alias("path_mean"))
-    return Sites(cut(means), overall)
+    above = hosts.select(F.col("host").alias("_host"), F.col("n").alias("_host_n"),
+                         F.col("total").alias("_host_total"))
+    sums = paths.join(broadcast_if_small(above), F.expr("host <=> _host")).select(
+        "_host", F.col("path").alias("_path"), "_host_n", "_host_total",
+        F.col("n").alias("_path_n"), F.col("total").alias("_path_total"))
+    return Sites(cut(sums), overall, k_host, k_path)
 
 
 def posteriors(rows: DataFrame, known: Sites) -> DataFrame:
-    """Rows (host, path, low, ...) with host_mean, path_mean and ``quality`` (0 to 1)."""
+    """Rows (host, path, low, ...) with host_mean, path_mean and ``quality`` (0 to 1).
+
+    A row's own evidence is taken out of its site's sums: it counts once, as evidence.
+    """
     safe = lambda p: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))
     odds = lambda p: F.log(safe(p) / (1 - safe(p)))
-    joined = rows.join(broadcast_if_small(known.means),
-                       F.expr("host <=> _host and path <=> _path")).drop("_host", "_path")
+    rest = lambda level, k, above: (
+        (F.col(f"_{level}_total") - F.col("low")) / MILLION + k * above) / (
+        F.col(f"_{level}_n") - 1 + k)
+    joined = rows.join(broadcast_if_small(known.sums),
+                       F.expr("host <=> _host and path <=> _path"))
+    joined = joined.withColumn("host_mean", rest("host", known.k_host, F.lit(known.overall)))
+    joined = joined.withColumn("path_mean", rest("path", known.k_path, F.col("host_mean")))
     logit = odds(F.col("low") / MILLION) + odds(F.col("path_mean")) - odds(F.lit(known.overall))
-    return joined.withColumn("quality", F.round(1 / (1 + F.exp(logit)), 6))
+    return joined.withColumn("quality", F.round(1 / (1 + F.exp(logit)), 6)).drop(
+        *known.sums.columns)
 
 
 def _site(host: str, path: str) -> dict[str, Column]:
