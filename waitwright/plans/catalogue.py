@@ -15,7 +15,7 @@ from waitwright.functions import rules
 from waitwright.lineage import cut, scratch_path
 from waitwright.operators import allocate as al
 from waitwright.operators import (
-    boost, clean, drift, encode, folds, model, moves, report, scale, score, split,
+    boost, clean, drift, encode, folds, forecast, model, moves, report, scale, score, split,
 )
 from waitwright.operators.lags import latest_per, with_history, with_history_stats
 from waitwright.operators.ordering import arrange
@@ -896,6 +896,23 @@ def cv_metrics(spark, folder):
                                          gap_minutes=_CV_GAP), "rmse", "mae", "r2")
 
 
+_WHERE = ("department",)
+
+
+@query
+def forecast_terms(spark, folder):
+    """Trend, changepoints and waves of the waits of each department."""
+    fitted = forecast.fit(ad.plain_visits(spark, folder), _WHERE, "arrival_time", TARGET)
+    return _rounded(forecast.terms(fitted, _WHERE), "weight")
+
+
+@query
+def forecast_ahead(spark, folder):
+    """The two days after the last reading of each department, with bounds."""
+    fitted = forecast.fit(ad.plain_visits(spark, folder), _WHERE, "arrival_time", TARGET)
+    return _rounded(forecast.ahead(fitted, _WHERE, 48), "forecast", "lower", "upper", digits=4)
+
+
 @query
 def prepared_splits(spark, folder):
     prepared = prepare_splits(ad.timed_visits(spark, folder), decimals=2)

@@ -926,6 +926,54 @@ select fold::int as fold, count(*) as rows, round(sqrt(avg(e * e)), 6) as rmse,
   round(avg(abs(e)), 6) as mae, round(1 - avg(e * e) / var_pop(y), 6) as r2
 from errors group by fold"""
 
+# --- forecast ---------------------------------------------------------------------------------
+_PLACE = "(h - h0)::double / greatest(h1 - h0, 1)::double"
+_TERMS = ["level", "slope"] + [f"bend_{j}" for j in range(1, 26)] + [
+    f"{name}_{part}_{k}" for name, order in (("daily", 4), ("weekly", 3))
+    for k in range(1, order + 1) for part in ("sin", "cos")]
+_VALUES = ["1.0::double", _PLACE] + [
+    f"greatest({_PLACE} - {j} * 0.8::double / 25, 0.0::double)" for j in range(1, 26)] + [
+    f"{wave}(2 * pi() * {k} * (h % {period})::double / {period}.0::double)"
+    for period, order in ((24, 4), (168, 3)) for k in range(1, order + 1)
+    for wave in ("sin", "cos")]
+_P = len(_TERMS)
+_FORECAST = f"""{VISITS}, cells as (
+select department, floor(epoch(arrival_time) / 3600)::bigint as h, count(*) as n,
+  sum(round(waiting_time * 1000000)::bigint)::double as u,
+  sum(round(waiting_time * 1000000)::hugeint * round(waiting_time * 1000000)::hugeint)::double as q,
+  max(abs(round(waiting_time * 1000000)::bigint))::double / 1000000.0::double as top
+from visits where arrival_time is not null and waiting_time is not null group by 1, 2), spans as (
+select department, min(h) as h0, max(h) as h1, sum(n) as n, max(top) as scale from cells group by 1),
+design as (select c.department, c.n, u / (1000000.0::double * scale) as y,
+  q / (1000000.0::double * scale * 1000000.0::double * scale) as yy,
+  [{", ".join(_VALUES)}] as x from cells c join spans using (department)), entries as (
+select department, i, j, sum(n * x[i] * x[j]) as v from design, range(1, {_P + 1}) a(i),
+  range(1, {_P + 1}) b(j) group by 1, 2, 3 union all
+select department, i, {_P + 1}, sum(x[i] * y) from design, range(1, {_P + 1}) a(i) group by 1, 2),
+lines as (select department, i, list(v order by j) as raw,
+  list(case when i <> j then v when i <= 2 then v + 0.04::double when i <= 27 then v + 400.0::double
+    else v + 0.01::double end order by j) as ridged from entries group by 1, 2), systems as (
+select department, list(raw order by i) as raw, list(ridged order by i) as m from lines group by 1),
+steps(department, k, m) as (select department, 1, m from systems union all
+  select department, k + 1, list_transform(m, lambda r, i: case when i = k
+    then list_transform(r, lambda v: v / m[k][k])
+    else list_transform(r, lambda v, j: v - r[k] * (m[k][j] / m[k][k])) end)
+  from steps where k <= {_P}), solved as (
+select department, list_transform(m, lambda r: r[{_P + 1}]) as w from steps where k = {_P + 1})"""
+STATEMENTS["forecast_terms"] = f"""with recursive {_FORECAST}
+select department, unnest({_TERMS}) as term, round(unnest(w), 6) as weight from solved"""
+STATEMENTS["forecast_ahead"] = f"""with recursive {_FORECAST}, errors as (
+select department, sqrt(sum(yy - 2 * y * list_dot_product(w, x)
+  + n * list_dot_product(w, x) * list_dot_product(w, x)) / sum(n)) as deviation
+from design join solved using (department) group by 1), coming as (
+select department, h1 + s as h, h0, h1, scale from spans, range(1, 49) t(s)), guessed as (
+select department, h, list_dot_product(w, [{", ".join(_VALUES)}]) * scale as forecast,
+  1.96::double * deviation * scale as wide
+from coming join solved using (department) join errors using (department))
+select department, h as hour, timestamp '1970-01-01' + to_hours(h) as hour_start,
+  round(forecast, 4) as forecast, round(forecast - wide, 4) as lower,
+  round(forecast + wide, 4) as upper from guessed"""
+
 # --- streams ----------------------------------------------------------------------------------
 STATEMENTS["stream_latest"] = f"""with {FEED} select "timestamp", department, queue_length,
   wait_time, active_counters, patient_id from latest"""
