@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from waitwright.operators.ordering import arrange, fill_both_ways
 from waitwright.operators.quantiles import quantile_values
+from waitwright.operators.sketches import approximate_values
 from waitwright.settings import (
     ARRIVAL, CARRIED_COLUMNS, FENCE_FACTOR, QUANTILE_RANGE, TARGET, VISIT_ID, Z_LIMIT,
 )
@@ -137,9 +138,15 @@ class Bounds:
     upper: float | None
 
 
-def fit_fences(df: DataFrame, columns: list[str]) -> list[Bounds]:
-    """Quartiles widened by 1.5 interquartile ranges."""
-    marks = quantile_values(df, columns, [0.25, 0.75])
+def _marks(df: DataFrame, columns: list[str], probs: list[float], sketch: int | None):
+    if sketch is None:
+        return quantile_values(df, columns, probs)
+    return approximate_values(df, columns, probs, sketch)
+
+
+def fit_fences(df: DataFrame, columns: list[str], sketch: int | None = None) -> list[Bounds]:
+    """Quartiles widened by 1.5 interquartile ranges; ``sketch``: approximate, of that size."""
+    marks = _marks(df, columns, [0.25, 0.75], sketch)
     bounds = []
     for c in columns:
         first, third = marks.get((c, 0.25)), marks.get((c, 0.75))
@@ -152,8 +159,9 @@ def fit_fences(df: DataFrame, columns: list[str]) -> list[Bounds]:
 
 
 def fit_quantile_range(df: DataFrame, columns: list[str],
-                       span: tuple[float, float] = QUANTILE_RANGE) -> list[Bounds]:
-    marks = quantile_values(df, columns, list(span))
+                       span: tuple[float, float] = QUANTILE_RANGE,
+                       sketch: int | None = None) -> list[Bounds]:
+    marks = _marks(df, columns, list(span), sketch)
     return [Bounds(c, marks.get((c, span[0])), marks.get((c, span[1]))) for c in columns]
 
 
@@ -163,10 +171,14 @@ def within(df: DataFrame, bounds: list[Bounds]) -> DataFrame:
     return df.where(reduce(and_, tests))
 
 
-def filter_outliers(df: DataFrame, column: str, method: str = "iqr") -> DataFrame:
-    """``iqr`` or ``quantile``; any other method keeps the table as it is."""
+def filter_outliers(df: DataFrame, column: str, method: str = "iqr",
+                    sketch: int | None = None) -> DataFrame:
+    """``iqr`` or ``quantile``; any other method keeps the table as it is.
+
+    Quantiles are exact unless ``sketch`` asks for approximate ones, of that size.
+    """
     fits = {"iqr": fit_fences, "quantile": fit_quantile_range}
-    return within(df, fits[method](df, [column])) if method in fits else df
+    return within(df, fits[method](df, [column], sketch=sketch)) if method in fits else df
 
 
 def filter_deviation(df: DataFrame, column: str, limit: float = Z_LIMIT,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waitwright.functions.rounding import round_scaled
 from waitwright.operators.quantiles import exact_quantiles
+from waitwright.operators.sketches import approximate_quantiles
 
 # Fixed verdict texts.
 VERDICTS = {
@@ -88,10 +89,13 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*cells)))
 
 
-def wait_distribution(feed: DataFrame, value: str = "wait_time") -> DataFrame:
-    """Minimum, quartiles and maximum per department."""
+def wait_distribution(feed: DataFrame, value: str = "wait_time",
+                      sketch: int | None = None) -> DataFrame:
+    """Minimum, quartiles and maximum per department; ``sketch``: approximate quartiles."""
     names = {0.0: "min", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "max"}
-    marks = exact_quantiles(feed, [value], list(names), by=("department",))
+    by = ("department",)
+    marks = (exact_quantiles(feed, [value], list(names), by=by) if sketch is None
+             else approximate_quantiles(feed, [value], list(names), by, sketch).where("n > 0"))
     return marks.groupBy("department").agg(*[
         F.max(F.when(F.col("prob") == F.lit(prob), F.col("value"))).alias(name)
         for prob, name in names.items()])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waitwright.operators.quantiles import quantile_values
+from waitwright.operators.sketches import approximate_values
 
 # fixed: column, quantile, flag name, whether the flag marks values above it
 FLAG_RULES = (("arrival_rate", 0.75, "high_arrival_rate", True),
@@ -21,12 +22,14 @@ class FlagLimits:
     limits: dict[str, float]
 
 
-def fit_flags(df: DataFrame) -> FlagLimits:
+def fit_flags(df: DataFrame, sketch: int | None = None) -> FlagLimits:
+    """Exact limits, or approximate ones from sketches of the size asked for."""
     rules = [(column, prob) for column, prob, _, _ in FLAG_RULES if column in df.columns]
     if not rules:
         return FlagLimits({})
-    marks = quantile_values(df, [column for column, _ in rules],
-                            sorted({prob for _, prob in rules}))
+    columns, probs = [column for column, _ in rules], sorted({prob for _, prob in rules})
+    marks = (quantile_values(df, columns, probs) if sketch is None
+             else approximate_values(df, columns, probs, sketch))
     limits = {column: marks[(column, prob)] for column, prob in rules if (column, prob) in marks}
     return FlagLimits(limits)
 

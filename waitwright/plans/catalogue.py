@@ -15,7 +15,8 @@ from waitwright.functions import rules
 from waitwright.lineage import cut, scratch_path
 from waitwright.operators import allocate as al
 from waitwright.operators import (
-    boost, clean, drift, encode, folds, forecast, model, moves, report, scale, score, split,
+    boost, clean, drift, encode, explain, folds, forecast, model, moves, report, scale, score,
+    sketches, split,
 )
 from waitwright.operators.lags import latest_per, with_history, with_history_stats
 from waitwright.operators.ordering import arrange
@@ -665,6 +666,16 @@ def boost_tree(spark, folder):
         "threshold", "n", F.round("value", 4).alias("value"))
 
 
+@query
+def boost_contributions(spark, folder):
+    """What each input adds to the prediction of each test order, by the tree of ``boost_tree``."""
+    data = _split_orders(spark, folder)
+    fitted = boost.fit(data.where("split = 'train'"), _ORDER_INPUTS, _ORDER_VALUE,
+                       settings=boost.leafwise(rounds=1, leaves=4, depth=2))
+    long = explain.contributions(data.where("split = 'test'"), fitted, ("order",))
+    return _rounded(long, "contribution", digits=3)
+
+
 def _bases(rounds: int = 6):
     return {"leafwise": model.boosted_leafwise(_ORDER_VALUE, rounds),
             "symmetric": model.boosted_symmetric(_ORDER_VALUE, rounds, depth=6),
@@ -896,6 +907,22 @@ def cv_metrics(spark, folder):
                                          gap_minutes=_CV_GAP), "rmse", "mae", "r2")
 
 
+@query
+def sketched_months(spark, folder):
+    """Price quantiles of each month from daily sketches, held against their true ranks."""
+    rows = _line(spark, folder).select(
+        F.to_date("l_shipdate").alias("day"), F.trunc("l_shipdate", "month").alias("month"),
+        "l_extendedprice")
+    price, by = ["l_extendedprice"], ("month",)
+    days = cut(sketches.sketch(rows, price, ("day",)))
+    months = sketches.merge(days, price, (F.trunc("day", "month").alias("month"),))
+    asked = cut(sketches.answer(months, price, [0.01, 0.25, 0.5, 0.75, 0.99], by))
+    errors = sketches.rank_errors(rows, "l_extendedprice", asked, by)
+    # Hundreds of answers: each within twice the bound that holds for 99 % of them.
+    return errors.join(asked, ["month", "prob"]).select(
+        "month", "prob", "rows", "n", (F.col("error") <= 2 * sketches.rank_bound()).alias("close"))
+
+
 _WHERE = ("department",)
 
 

