@@ -27,6 +27,7 @@ from waitwright.plans.training import train
 from waitwright.settings import TARGET
 from waitwright.sources import adapters as ad
 from waitwright.sources import tables
+from waitwright.streaming import cooldown as keyed
 from waitwright.streaming import readings
 
 AS_OF = datetime(2024, 1, 20)
@@ -994,6 +995,18 @@ def stream_allocation(spark, folder):
     return _response(spark.read.parquet(history))
 
 
+@query
+def stream_allocation_keyed(spark, folder):
+    """As ``stream_allocation``, with the last kept run of each site in the state store."""
+    path, history = scratch_path(spark, "states"), scratch_path(spark, "history")
+    _minute_states(spark, folder).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    states = al.department_states(spark.readStream.schema(schema).parquet(path),
+                                  by=("site", "run_time"))
+    keyed.allocate_keyed(states, history, scratch_path(spark, "state")).awaitTermination()
+    return _response(spark.read.parquet(history))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Dirty visits to per-department efficiency: dedupe, quantile filter, calendar, report."""
     distinct = cut(clean.remove_duplicates(ad.visits_dirty(spark, folder)))

@@ -1015,3 +1015,4 @@ STATEMENTS["stream_alerts"] = f"""with {FEED} select "timestamp", department, wa
   case when wait_time < 15 then 'Normal' when wait_time < 30 then 'Busy' else 'Critical' end
     as status, {ALERT} from feed where wait_time > 20"""
 STATEMENTS["stream_allocation"] = STATEMENTS["alloc_with_cooldown"]
+STATEMENTS["stream_allocation_keyed"] = STATEMENTS["alloc_with_cooldown"]
