@@ -15,8 +15,8 @@ from waitwright.functions import rules
 from waitwright.lineage import cut, scratch_path
 from waitwright.operators import allocate as al
 from waitwright.operators import (
-    boost, clean, drift, encode, explain, folds, forecast, model, moves, report, scale, score,
-    sketches, split,
+    boost, clean, drift, encode, explain, extra_trees, folds, forecast, model, moves, report, scale,
+    score, sketches, split,
 )
 from waitwright.operators.lags import latest_per, with_history, with_history_stats
 from waitwright.operators.ordering import arrange
@@ -677,6 +677,16 @@ def boost_contributions(spark, folder):
     return _rounded(long, "contribution", digits=3)
 
 
+@query
+def extra_trees_orders(spark, folder):
+    """Predicted value of every test order by trees of hashed cuts."""
+    data = _split_orders(spark, folder)
+    forest = extra_trees.fit(data.where("split = 'train'"), _ORDER_INPUTS, _ORDER_VALUE,
+                             extra_trees.Settings(trees=10, depth=6))
+    return _rounded(forest.transform(data.where("split = 'test'")).select("order", "prediction"),
+                    "prediction", digits=3)
+
+
 def _bases(rounds: int = 6):
     return {"leafwise": model.boosted_leafwise(_ORDER_VALUE, rounds),
             "symmetric": model.boosted_symmetric(_ORDER_VALUE, rounds, depth=6),
