@@ -646,12 +646,13 @@ def model_compare(spark, folder):
                               "symmetric": model.boosted_symmetric(_ORDER_VALUE, 20)},
         _ORDER_VALUE)
     rows = {r["model"]: r for r in run.metrics.collect()}
+    mean_rmse = _mean_rmse(data)
     test = data.where("split = 'test'")
     scored = run.models[run.best].transform(test).where("prediction is not null")
     return _one_row(
         spark, candidates=len(rows), scored_rows=scored.count(),
         best_has_least_rmse=rows[run.best]["rmse"] == min(r["rmse"] for r in rows.values()),
-        all_beat_mean=all(r["rmse"] < _mean_rmse(data) for r in rows.values()),
+        all_beat_mean=all(r["rmse"] < mean_rmse for r in rows.values()),
         rounds_within_limits=1 <= run.rounds["leafwise"] <= 40 and 1 <= run.rounds["symmetric"] <= 20)
 
 

@@ -210,9 +210,13 @@ select patient_id, arrival_time,
     first_value(day_of_week ignore nulls) over {_rows('current row', 'unbounded following')})
     as day_of_week
 from gaps"""
-STATEMENTS["missing_cells"] = f"""with {DIRTY}
+STATEMENTS["missing_cells"] = f"""with {DIRTY}, whole as (
+select * replace (
+  coalesce(waiting_time, (select quantile_cont(waiting_time, 0.5) from dirty)) as waiting_time,
+  coalesce(department, (select department from dirty where department is not null
+    group by department order by count(*) desc, department limit 1)) as department) from dirty)
 select 'before' as step, cast(sum({MISSING_TIDY}) as bigint) as missing_values from dirty
-union all select 'after', cast(0 as bigint)"""
+union all select 'after', cast(sum({MISSING_TIDY}) as bigint) from whole"""
 STATEMENTS["quality_report"] = f"""with {DIRTY}, counts as (
 select count(*) as total_records, cast(sum({MISSING_TIDY}) as bigint) as missing_values,
   count(*) - (select count(*) from (select distinct * from dirty)) as duplicate_rows,
