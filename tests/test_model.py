@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from waitwright.operators import model, split
@@ -125,3 +126,44 @@ def test_patience():
     assert model.best_round([5, 4, 3, 3.5, 3.4, 2], patience=2) == 2
     assert model.best_round([5, 4, 3, 3.5, 3.4, 2], patience=4) == 5
     assert model.best_round([1.0]) == 0
+
+
+class Watched(RandomForestRegressor):
+    """Keeps the sizes of the parts that every fit is given."""
+
+    seen = []
+
+    def _fit(self, dataset):
+        Watched.seen.append([len(part) for part in dataset.select("a").rdd.glom().collect()])
+        return super()._fit(dataset)
+
+
+def watched():
+    return Watched(labelCol=TARGET, numTrees=2, maxDepth=2, seed=1)
+
+
+@pytest.mark.parametrize("fit", [
+    lambda rows: model.fit_one(watched(), FEATURES, rows),
+    lambda rows: model.train_and_compare(rows, FEATURES, {"one": watched(), "two": watched()}),
+    lambda rows: model.fit_stack(rows, FEATURES, {"one": watched(), "two": watched()}, folds=2)])
+def test_tree_learners_get_even_parts_however_the_rows_lie(spark, visits, fit):
+    Watched.seen = []
+    few = visits.where("patient_id < 40").coalesce(1)
+    fit(few.unionByName(visits.where("patient_id >= 40").coalesce(1)))
+    for sizes in Watched.seen:
+        assert len(sizes) == spark.sparkContext.defaultParallelism
+        assert max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_rows_are_assembled_once_for_all_fits(visits, monkeypatch):
+    written = []
+    cut = model.cut
+    monkeypatch.setattr(model, "cut", lambda df: written.append(df.columns) or cut(df))
+    model.fit_stack(visits, FEATURES, {"one": watched(), "two": watched()}, folds=2)
+    assert sum("features" in columns for columns in written) == 1
+
+
+def test_a_feature_that_is_missing_is_still_refused(spark):
+    rows = spark.createDataFrame([(1.0, None, 2.0), (2.0, 1.0, 3.0)], f"a double, b double, {TARGET} double")
+    with pytest.raises(Exception, match="null"):
+        model.fit_one(watched(), FEATURES, rows)
