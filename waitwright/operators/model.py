@@ -144,6 +144,7 @@ def train_and_compare(split: DataFrame, features: list[str], candidates: dict[st
     train, validation, test = (data.where(F.col("split") == part)
                                for part in ("train", "validation", "test"))
     models, rows = {}, []
+    train = assembled_rows(train, features)
     for position, (name, estimator) in enumerate(candidates.items()):
         if isinstance(estimator, GBTRegressor) and not validation.isEmpty():
             model = fit_boosted(estimator, features, train, validation, patience)
