@@ -132,3 +132,14 @@ def test_large_trees_are_joined(spark, data, monkeypatch, frequent):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
     compare(rows, st.scores(frame, learn).collect(), lambda i: i is None or i % 3 != 0)
+
+
+@pytest.mark.parametrize("depth", range(7))
+def test_grams_of_short_rows(depth):
+    import numpy as np
+    rows = [b"\n", b"a \n", b"abcdefgh ij \n", b"\n", b"abc \n"]
+    firsts = np.r_[0, np.cumsum([len(r) for r in rows])]
+    got = st.grams(np.frombuffer(b"".join(rows), np.uint8), firsts, depth)
+    want = [int.from_bytes((b"\n" + r)[max(i + 1 - depth, 0):i + 2], "big")
+            for r in rows for i in range(len(r))]
+    assert got.tolist() == want

@@ -76,14 +76,15 @@ def symbols(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(sequence: np.ndarray, firsts: np.ndarray, depth: int) -> np.ndarray:
     """Each symbol with ``depth`` symbols before it in its row, oldest highest; 0 where none is."""
-    out = sequence.astype(np.uint64)
-    age = np.arange(len(sequence)) - np.repeat(firsts[:-1], np.diff(firsts))
-    for k in range(1, depth + 1):
-        shifted = np.zeros(len(sequence), np.uint64)
-        shifted[k:] = sequence[:-k] if k < len(sequence) else 0
-        shifted[age < k] = 0
-        shifted[age == k - 1] = END
-        out |= shifted << np.uint64(8 * k)
+    out, width = sequence.astype(np.uint64), 1
+    while width <= depth:  # the symbols seen so far, and as many before them
+        out[width:] |= out[:-width] << np.uint64(8 * width)
+        width *= 2
+    out &= np.uint64((1 << 8 * (depth + 1)) - 1)
+    starts, sizes = firsts[:-1], np.diff(firsts)
+    for age in range(depth):  # the first symbols of a row have END and nothing before them
+        at, below = starts[sizes > age] + age, 8 * (age + 1)
+        out[at] = (out[at] & np.uint64((1 << below) - 1)) | np.uint64(END << below)
     return out
 
 
