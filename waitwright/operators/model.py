@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark import SparkContext
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import VectorAssembler
@@ -14,7 +16,8 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waitwright.lineage import cut
+from waitwright.lineage import cut, scratch_path
+from waitwright.operators import grouped
 from waitwright.operators.split import hash_share, split_key
 from waitwright.settings import TARGET
 
@@ -60,13 +63,37 @@ def assembled_rows(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit_one(estimator: Estimator, features: list[str], rows: DataFrame) -> PipelineModel:
-    """Assemble the features and fit one estimator; ``assembled_rows`` are taken as they are."""
+    """Assemble the features and fit one estimator; ``assembled_rows`` are taken as they are.
+
+    Boosters go through groups of like rows where these are few enough, else through the rows.
+    """
     pipeline = assembled(estimator, features)
     if "features" not in rows.columns:
         if not isinstance(estimator, (GBTRegressor, RandomForestRegressor)):
             return pipeline.fit(rows)
         rows = assembled_rows(rows, features)
-    return PipelineModel([pipeline.getStages()[0], estimator.fit(rows)])
+    fitted = None
+    if isinstance(estimator, GBTRegressor):
+        fitted = grouped.fit(estimator, features, rows)
+    if fitted is None:
+        _bound_lineage(rows.sparkSession)
+        fitted = estimator.fit(rows)
+    return PipelineModel([pipeline.getStages()[0], fitted])
+
+
+def _bound_lineage(spark: SparkSession) -> None:
+    """Let Spark ML write its margins every few rounds: hundreds in one lineage end the stack."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, "margins"))
+
+
+def _in_threads(spark: SparkSession, jobs: dict) -> dict[object, Future]:
+    """Start all jobs, one per core at a time: a booster's rounds keep a single core busy."""
+    pool = ThreadPoolExecutor(spark.sparkContext.defaultParallelism)
+    running = {name: pool.submit(inheritable_thread_target(spark)(job))
+               for name, job in jobs.items()}
+    pool.shutdown(wait=False)
+    return running
 
 
 # --- metrics ----------------------------------------------------------------------------------
@@ -145,12 +172,19 @@ def train_and_compare(split: DataFrame, features: list[str], candidates: dict[st
                                for part in ("train", "validation", "test"))
     models, rows = {}, []
     train = assembled_rows(train, features)
+    stops = not validation.isEmpty()
+
+    def boosted(estimator):
+        if stops:
+            return fit_boosted(estimator, features, train, validation, patience)
+        return fit_one(estimator, features, train)
+
+    boosting = _in_threads(spark, {name: partial(boosted, estimator)
+                                   for name, estimator in candidates.items()
+                                   if isinstance(estimator, GBTRegressor)})
     for position, (name, estimator) in enumerate(candidates.items()):
-        if isinstance(estimator, GBTRegressor) and not validation.isEmpty():
-            model = fit_boosted(estimator, features, train, validation, patience)
-        else:
-            model = fit_one(estimator, features, train)
-        models[name] = model
+        models[name] = model = (boosting[name].result() if name in boosting
+                                else fit_one(estimator, features, train))
         scores = regression_metrics(model.transform(test), label).first()
         rows.append((position, name, scores["rmse"], scores["mae"], scores["r2"], scores["mape"]))
     best = min(rows, key=lambda row: (row[2], row[0]))[1]
