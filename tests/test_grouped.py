@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +89,40 @@ def test_compare_query_gives_both_boosters_all_rounds(spark, data, monkeypatch):
     with pytest.raises(Given) as found:
         catalogue.model_compare(spark, data)
     assert found.value.args[0] == {"leafwise": (500, 6), "symmetric": (500, 8)}
+
+
+def test_stack_query_gives_its_bases_all_rounds_trees_and_levels(spark, data, monkeypatch):
+    def given(rows, features, bases, **options):
+        raise Given({n: (e.getOrDefault("maxIter") if e.hasParam("maxIter") else e.getNumTrees(),
+                         e.getMaxDepth()) for n, e in bases.items()})
+
+    monkeypatch.setattr(model, "fit_stack", given)
+    with pytest.raises(Given) as found:
+        catalogue.model_stack(spark, data)
+    assert found.value.args[0] == {"leafwise": (500, 6), "symmetric": (500, 8),
+                                   "trees": (100, 10), "shallow": (100, 4)}
+
+
+def test_a_stack_holds_the_fits_on_all_rows(spark):
+    rows = spark.range(400).select("id", (F.col("id") % 5).cast("double").alias("a"),
+                                   (F.col("id") % 7).cast("double").alias("b"))
+    rows = rows.withColumn("y", F.col("a") * 3 + F.col("b"))
+    bases = {"boosted": model.boosted_leafwise("y", 3),
+             "trees": model.randomised_trees("y", trees=2, depth=3)}
+    stack = model.fit_stack(rows, ["a", "b"], bases, label="y", key="id", folds=3)
+    assert list(stack.bases) == ["boosted", "trees"]
+    root = lambda fitted: fitted.trees[0]._java_obj.rootNode()
+    assert root(stack.bases["boosted"].stages[-1]).impurityStats().count() == 400
+    scored = stack.transform(rows)
+    assert scored.count() == 400 and "features" not in scored.columns
+
+
+def test_a_failed_fit_ends_the_others(spark):
+    def failing():
+        raise ValueError("no rows")
+
+    later = []
+    jobs = {"bad": failing} | {n: lambda: time.sleep(0.2) or later.append(1) for n in range(20)}
+    with pytest.raises(ValueError, match="no rows"):
+        model._results(model._in_threads(spark, jobs, 1))
+    assert len(later) < 5
